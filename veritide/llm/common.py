@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import struct
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as _column
 
 #: Blanks of the word pattern: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = "\\x20\\x09-\\x0D"
@@ -69,3 +71,11 @@ def let(value: Column, body) -> Column:
     A column that a lambda refers to would be evaluated again for each element.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def int_array(spark: SparkSession, values: list[int]) -> Column:
+    """A literal array of ints, also of many (``F.lit`` makes an expression of each element)."""
+    jvm = spark.sparkContext._jvm
+    data = bytearray(struct.pack(f">{len(values)}i", *values))
+    buffer = jvm.java.nio.IntBuffer.allocate(len(values)).put(jvm.java.nio.ByteBuffer.wrap(data).asIntBuffer())
+    return _column(jvm.org.apache.spark.sql.functions.lit(buffer.array()))
