@@ -6,6 +6,9 @@ import os
 import struct
 import tempfile
 import uuid
+import zipfile
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +17,29 @@ from pyspark.sql.classic.column import Column as _column
 #: Blanks of the word pattern: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = "\\x20\\x09-\\x0D"
 
+_shipped: set[str] = set()
 _own_dir: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, so that they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    to = Path(tempfile.mkdtemp(prefix="veritide-ship-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(str(to))
+    _shipped.add(sc.applicationId)
+
+
 def fold(id_col: Column, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo ``mod`` (null for a null id)."""
     return F.crc32(id_col.cast("string").cast("binary")) % mod
@@ -55,12 +74,15 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan; for sizing buckets, never for results."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    """Catalyst's size estimate of a plan, or its measured text where that knows none; only for sizing buckets."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if found < df.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes() // 4:
+        return found
+    texts = [F.sum(F.octet_length(name)) for name, kind in df.dtypes if kind in ("string", "binary")]
+    return sum(x or 0 for x in df.agg(F.count("*"), *texts).first())
 
 
-def buckets_for(df: DataFrame, bytes_each: int, least: int = 12, most: int = 1 << 16) -> int:
+def buckets_for(df: DataFrame, bytes_each: int, least: int = 12, most: int = 1 << 20) -> int:
     """So many buckets that each holds about ``bytes_each`` of the input's estimate."""
     return int(min(most, max(least, estimated_bytes(df) // bytes_each)))
 
@@ -79,3 +101,20 @@ def int_array(spark: SparkSession, values: list[int]) -> Column:
     data = bytearray(struct.pack(f">{len(values)}i", *values))
     buffer = jvm.java.nio.IntBuffer.allocate(len(values)).put(jvm.java.nio.ByteBuffer.wrap(data).asIntBuffer())
     return _column(jvm.org.apache.spark.sql.functions.lit(buffer.array()))
+
+
+@contextmanager
+def runtime_filters(spark: SparkSession):
+    """Let Spark sift the large side of a join by a Bloom filter of the small side's keys before it is shuffled."""
+    keys = {
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    }
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

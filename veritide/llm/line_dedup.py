@@ -15,12 +15,10 @@ its groups in a last round. No line is left untried.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, int_array, read, written
+from .common import BLANKS, int_array, read, runtime_filters, written
 
 #: Jaccard similarity, in per cent, from which two lines match.
 PERCENT = 90
@@ -88,23 +86,6 @@ def _passes(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(xn, yn) >= percent * F.greatest(xn, yn)) & (most >= least) & (apart <= xn + yn - 2 * least)
 
 
-@contextmanager
-def _runtime_filters(spark: SparkSession):
-    """Let Spark sift the large side of a join by a Bloom filter of the small side's keys before it is shuffled."""
-    keys = {
-        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-    }
-    before = {k: spark.conf.get(k, None) for k in keys}
-    for k, v in keys.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, ranks: Column, percent: int) -> DataFrame:
     """Pairs with ``ok``: whether the whole word sets are similar enough. Written."""
     spark = pairs.sparkSession
@@ -112,7 +93,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, ranks: Column, percent: int) ->
         pairs.select("x.*").unionByName(pairs.select("y.*")).select("doc", "at", "cls").distinct().withColumn("mark", F.lit(1))
     )
     wanted = places.where("mark = 1").select(F.col("doc").alias("__id"), "mark").distinct()
-    with _runtime_filters(spark):
+    with runtime_filters(spark):
         some = docs.join(wanted.hint("shuffle_hash"), docs["__id"].eqNullSafe(wanted["__id"]), "left_semi")
         sets = _token_sets(_lines(some), ranks).withColumn("cls", F.xxhash64("tokens"))
         same = lambda a, b: a["doc"].eqNullSafe(b["doc"]) & (a["at"] == b["at"]) & (a["cls"] == b["cls"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, line_dedup, piece_codec, quality_rules, url_filter
+from . import decontaminate, language_id, line_dedup, parity_join, piece_codec, quality_rules, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op5_sentencepiece": piece_codec.op5_sentencepiece,
         "op6_url_filters": url_filter.op6_url_filters,
+        "op7_ngram_jaccard": parity_join.op7_ngram_jaccard,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_line_dedup": line_dedup.op9_line_dedup,
     }
