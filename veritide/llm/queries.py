@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_main, language_id, line_dedup, parity_join, piece_codec, quality_rules, url_filter
+from . import decontaminate, html_main, language_id, line_dedup, parity_join, piece_codec, quality_rules, suffix_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1_language_id,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_html_main": html_main.op4_html_main,
         "op5_sentencepiece": piece_codec.op5_sentencepiece,
