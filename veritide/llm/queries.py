@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_main, language_id, line_dedup, parity_join, piece_codec, quality_rules, suffix_dedup, url_filter
+from . import decontaminate, html_main, interpolated_lm, language_id, line_dedup, parity_join, piece_codec, quality_rules, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_ngram_jaccard": parity_join.op7_ngram_jaccard,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_line_dedup": line_dedup.op9_line_dedup,
+        "op10_interpolated_lm": interpolated_lm.op10_interpolated_lm,
     }
 
 

@@ -99,7 +99,7 @@ def _fragment_mail(buckets: int, length: int):
 
     def mail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, bytes, int]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -111,7 +111,7 @@ def _fragment_mail(buckets: int, length: int):
             if len(start):
                 row = np.searchsorted(begins, start, side="right") - 1
                 ids = np.array([x[:2] for x in held], np.int64)[row]
-                at = start - begins[row]
+                at = start - begins[row] + np.array([x[3] for x in held], np.int64)[row]
                 bucket = (seed % np.uint64(buckets)).astype(np.int64)
                 what = _content(data, start, end)
                 order = np.lexsort((at, ids[:, 1], ids[:, 0], what, seed, bucket))
@@ -138,11 +138,13 @@ def _fragment_mail(buckets: int, length: int):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 if len(raw) < length:
                     continue
-                if size + len(raw) > _BATCH and held:
-                    yield from flush()
-                    size = 0
-                held.append((i, t, raw))
-                size += len(raw)
+                for a in range(0, len(raw), _BATCH):  # long texts in pieces that share all but the first byte of a string
+                    piece = raw[a : a + _BATCH + length - 1]
+                    if size + len(piece) > _BATCH and held:
+                        yield from flush()
+                        size = 0
+                    held.append((i, t, piece, a))
+                    size += len(piece)
         yield from flush()
 
     return mail
