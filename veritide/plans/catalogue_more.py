@@ -1,0 +1 @@
+"""More queries of the catalogue."""
