@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.retrieval import BM25, top_k
+from ..shipping import ship
 
 WIDTH = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
