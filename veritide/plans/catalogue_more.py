@@ -453,3 +453,73 @@ def hash_encode(spark, d):
     return rounded(hash_encoded(I.documents(spark, d)))
 
 
+
+
+# -- candidates, samples and seals ----------------------------------------------------------
+
+
+@_query(
+    f"""WITH {BM}, p AS (SELECT query_id, gold.doc_id, list_distinct(q.toks) AS a, list_distinct(d.toks) AS b FROM gold JOIN q USING (query_id) JOIN d ON d.doc_id = gold.doc_id)
+    SELECT query_id, doc_id, round(len(list_intersect(a, b)) / CAST(len(a) AS DOUBLE), 6) AS overlap, round(len(list_intersect(a, b)) / CAST(len(a) + len(b) - len(list_intersect(a, b)) AS DOUBLE), 6) AS jaccard FROM p"""
+)
+def overlap_features(spark, d):
+    q = I.claims(spark, d).select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("a"))
+    docs = I.documents(spark, d).select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("b"))
+    pairs = I.gold(spark, d).join(q, "query_id").join(docs, "doc_id")
+    return rounded(pairs.select("query_id", "doc_id", T.overlap_ratio(F.col("a"), F.col("b")).alias("overlap"), T.jaccard(F.col("a"), F.col("b")).alias("jaccard")))
+
+
+@_query(
+    f"""WITH {BM} SELECT count(*) AS n_gold, count(rrf.doc_id) AS n_reached, count(DISTINCT gold.query_id) AS n_claims, count(DISTINCT CASE WHEN rrf.doc_id IS NOT NULL THEN gold.query_id END) AS n_claims_reached
+    FROM gold LEFT JOIN rrf USING (query_id, doc_id)"""
+)
+def candidate_reachability(spark, d):
+    found = fusion.reciprocal_rank_fusion(_rankings(spark, d), top=50).select("query_id", "doc_id").withColumn("hit", F.lit(1))
+    joined = I.gold(spark, d).join(found, ["query_id", "doc_id"], "left")
+    return joined.agg(
+        F.count("*").alias("n_gold"), F.count("hit").alias("n_reached"), F.count_distinct("query_id").alias("n_claims"),
+        F.count_distinct(F.when(F.col("hit").isNotNull(), F.col("query_id"))).alias("n_claims_reached"),
+    )
+
+
+@_query(f"WITH {_SPLIT} SELECT split, count(*) AS n, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS ids_sha256 FROM s GROUP BY split")
+def split_seal(spark, d):
+    """Count and hash of each split's ids, so that a sealed split can be named without being written."""
+    ids = F.array_sort(F.collect_list("doc_id"))
+    text = F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
+    return I.splits(spark, d).groupBy("split").agg(F.count("*").alias("n"), F.sha2(text, 256).alias("ids_sha256"))
+
+
+@_query(
+    f"""WITH {BM} SELECT query_id, '{{"claim_id":' || query_id || ',"evidences":[' || string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) || ']}}' AS line FROM br WHERE rank <= 5 GROUP BY query_id"""
+)
+def prediction_export(spark, d):
+    """One JSON object a claim with its first five documents in order."""
+    ranked = I.bm25(spark, d, 5).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("r"))
+    line = F.to_json(F.struct(F.col("query_id").alias("claim_id"), F.col("r.doc_id").alias("evidences")))
+    return ranked.select("query_id", line.alias("line"))
+
+
+@_query(
+    """WITH gold AS (SELECT DISTINCT doc_id FROM documents JOIN benchmark b ON contains(documents.text, b.text)),
+    r AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('17:' || doc_id), doc_id) AS n FROM documents ANTI JOIN gold USING (doc_id))
+    SELECT doc_id, TRUE AS required FROM gold UNION ALL SELECT doc_id, FALSE FROM r WHERE n <= 200 - (SELECT count(*) FROM gold)"""
+)
+def evidence_sample(spark, d):
+    """All required documents, and others up to 200 in the order of a hash."""
+    need = I.gold(spark, d).select("doc_id").distinct()
+    rest = I.documents(spark, d).select("doc_id").join(need, "doc_id", "left_anti")
+    more = rest.orderBy(F.sha2(F.concat(F.lit("17:"), F.col("doc_id").cast("string")), 256), "doc_id").limit(max(0, 200 - need.count()))
+    return need.withColumn("required", F.lit(True)).unionByName(more.withColumn("required", F.lit(False)))
+
+
+@_query(
+    """WITH p AS (SELECT conv_id, list(struct_pack(turn := turn, role := role, h := md5(text)) ORDER BY turn) AS m, count(*) AS n, count(DISTINCT role) AS n_roles FROM conversations GROUP BY conv_id)
+    SELECT conv_id, n, n_roles, array_to_string(list_transform(m, lambda x: x.role || ':' || x.h), ',') AS messages FROM p"""
+)
+def chat_messages(spark, d):
+    """A conversation's messages in order, as role and text hash."""
+    rows = I.table(spark, d, "conversations").groupBy("conv_id").agg(
+        F.count("*").alias("n"), F.count_distinct("role").alias("n_roles"), F.array_sort(F.collect_list(F.struct("turn", "role", F.md5("text").alias("h")))).alias("m")
+    )
+    return rows.select("conv_id", "n", "n_roles", F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(":"), x["h"])), ",").alias("messages"))
