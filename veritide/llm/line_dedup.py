@@ -27,24 +27,25 @@ PERCENT = 90
 LEAST_WORDS = 5
 
 #: Words are ordered by the count of their hash bucket; so many buckets bound that table.
-RANK_BITS = 18
+RANK_BITS = 16
 
-_LAGS = 4
+_LAGS = 3
 
 
-def _words(line: str) -> str:
-    return f"filter(split(lower({line}), '[{BLANKS}]+'), w -> w <> '')".replace("\\", "\\\\")
+def _words(line: Column | str) -> Column:
+    """Lower-cased words; the plain split is much the faster one, and most lines have no other blank than spaces."""
+    low = F.lower(line)
+    other = F.lit(False)
+    for blank in "\t\x0b\x0c\r\n":
+        other = other | F.contains(F.col(line) if isinstance(line, str) else line, F.lit(blank))
+    return F.array_remove(F.when(other, F.split(low, f"[{BLANKS}]+")).otherwise(F.split(low, " ")), "")
 
 
 def _ranks(lines: DataFrame) -> Column:
     """Place of each hash bucket by its number of words over all lines, rarest first (a fixed-size array)."""
     size = 1 << RANK_BITS
-    counts = (
-        lines.select(F.explode(F.expr(f"transform({_words('line')}, w -> xxhash64(w) & {size - 1})")).alias("bucket"))
-        .groupBy("bucket")
-        .count()
-        .collect()
-    )
+    words = lines.select(F.explode(_words("line")).alias("word"))
+    counts = words.groupBy((F.xxhash64("word").bitwiseAND(F.lit(size - 1))).alias("bucket")).count().collect()
     count = [0] * size
     for r in counts:
         count[r[0]] = r[1]
@@ -57,19 +58,20 @@ def _ranks(lines: DataFrame) -> Column:
 def _token_sets(lines: DataFrame, ranks: Column) -> DataFrame:
     """Lines with ``tokens``: their distinct words as 63-bit numbers whose order is rarity; short lines go."""
     mask = (1 << RANK_BITS) - 1
-    hashes = lines.withColumn("__h", F.expr(f"array_distinct(transform({_words('line')}, w -> xxhash64(w)))"))
-    hashes = hashes.where(F.size("__h") >= LEAST_WORDS).drop("line")
 
     def number(h: Column) -> Column:
         place = F.get(ranks, h.bitwiseAND(F.lit(mask)).cast("int")).cast("long")
         return F.shiftleft(place, 63 - RANK_BITS).bitwiseOR(F.shiftrightunsigned(h, RANK_BITS + 1))
 
-    return hashes.withColumn("tokens", F.sort_array(F.transform("__h", number))).drop("__h")
+    hashes = F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w)))
+    # Generators keep the filter from computing a set once more.
+    sets = lines.select("doc", "text_hash", "at", F.explode(F.array(hashes)).alias("__h")).where(F.size("__h") >= LEAST_WORDS)
+    return sets.select("doc", "text_hash", "at", F.explode(F.array(F.sort_array(F.transform("__h", number)))).alias("tokens"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, text_hash, line number, line) of every row with a text."""
-    return docs.where("__text is not null").select(
+    """(doc, text_hash, line number, line) of every row with an id and a text."""
+    return docs.where("__text is not null and __id is not null").select(
         F.col("__id").alias("doc"),
         F.xxhash64("__text").alias("text_hash"),
         F.posexplode(F.split("__text", "\n")).alias("at", "line"),
@@ -89,29 +91,27 @@ def _passes(x: str, y: str, percent: int) -> Column:
 def _verified(pairs: DataFrame, docs: DataFrame, ranks: Column, percent: int) -> DataFrame:
     """Pairs with ``ok``: whether the whole word sets are similar enough. Written."""
     spark = pairs.sparkSession
-    places = written(
-        pairs.select("x.*").unionByName(pairs.select("y.*")).select("doc", "at", "cls").distinct().withColumn("mark", F.lit(1))
-    )
-    wanted = places.where("mark = 1").select(F.col("doc").alias("__id"), "mark").distinct()
+    places = written(pairs.select("x.*").unionByName(pairs.select("y.*")).select("doc", "at", "cls").distinct())
+    # The filter that is always true lets Spark build its Bloom filter of these ids.
+    wanted = written(places.select(F.col("doc").alias("__id"), F.lit(1).alias("mark")).distinct()).where("mark = 1")
     with runtime_filters(spark):
-        some = docs.join(wanted.hint("shuffle_hash"), docs["__id"].eqNullSafe(wanted["__id"]), "left_semi")
+        some = docs.join(wanted.hint("shuffle_hash"), "__id", "left_semi")
         sets = _token_sets(_lines(some), ranks).withColumn("cls", F.xxhash64("tokens"))
-        same = lambda a, b: a["doc"].eqNullSafe(b["doc"]) & (a["at"] == b["at"]) & (a["cls"] == b["cls"])
         found = written(
-            sets.alias("s").join(places.alias("p"), same(sets, places), "left_semi").select("doc", "at", "cls", "tokens").dropDuplicates(["doc", "at", "cls"])
+            sets.join(places, ["doc", "at", "cls"], "left_semi").select("doc", "at", "cls", "tokens").dropDuplicates(["doc", "at", "cls"])
         )
-    sx, sy = found.alias("sx"), found.alias("sy")
 
-    def on(side: str, p: str) -> Column:
-        return (
-            F.col(f"{side}.doc").eqNullSafe(F.col(f"{p}.doc"))
-            & (F.col(f"{side}.at") == F.col(f"{p}.at"))
-            & (F.col(f"{side}.cls") == F.col(f"{p}.cls"))
-        )
+    def tokens_of(side: str) -> DataFrame:
+        place = F.struct("doc", "at", "cls").alias(f"{side}_place")
+        return found.select(place, F.col("tokens").alias(f"{side}_tokens"))
 
-    both = F.size(F.array_intersect("sx.tokens", "sy.tokens"))
-    joined = pairs.join(sx, on("sx", "x")).join(sy, on("sy", "y"))
-    ok = 100 * both >= percent * (F.size("sx.tokens") + F.size("sy.tokens") - both)
+    joined = (
+        pairs.select("x", "y", *[F.struct(f"{c}.doc", f"{c}.at", f"{c}.cls").alias(f"{c}_place") for c in "xy"])
+        .join(tokens_of("x"), "x_place")
+        .join(tokens_of("y"), "y_place")
+    )
+    both = F.size(F.array_intersect("x_tokens", "y_tokens"))
+    ok = 100 * both >= percent * (F.size("x_tokens") + F.size("y_tokens") - both)
     return written(joined.select("x", "y", ok.alias("ok")))
 
 
@@ -132,44 +132,61 @@ def line_classes(docs: DataFrame, ranks: Column, percent: int) -> DataFrame:
     )
 
 
+def _prefix_rows(classes: DataFrame, shared: bool = False) -> DataFrame:
+    """A row for each prefix word of each class: the word, and the class as ``me``; only of shared words, if asked, which shuffles flat rows by word."""
+    flat = classes.select(
+        "doc", "at", "cls", "sketch", (F.shiftleft(F.col("n").cast("long"), 24)).alias("size"), F.posexplode("prefix").alias("pos", "token")
+    ).select("token", "doc", "at", "cls", "sketch", F.col("size").bitwiseOR(F.col("pos").cast("long")).alias("size"))
+    if shared:
+        members = F.count("*").over(Window.partitionBy("token"))
+        flat = flat.withColumn("members", members).where("members > 1")
+    me = F.struct(
+        "doc", "at", "cls", "sketch",
+        F.shiftright("size", 24).cast("int").alias("n"),
+        F.col("size").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("pos"),
+    )
+    return flat.select("token", me.alias("me"), *(["members"] if shared else []))
+
+
 def later_matches(classes: DataFrame, docs: DataFrame, ranks: Column, percent: int) -> DataFrame:
     """Classes (cls, sketch, n) whose first place has an earlier place with a similar set."""
-    rows = classes.select("doc", "at", "cls", "sketch", "n", F.posexplode("prefix").alias("pos", "token"))
-    facts = F.struct("doc", "at", "cls", "sketch", "n", "pos")
-    order = Window.partitionBy("token").orderBy("doc", "at", "cls")
+    rows = _prefix_rows(classes, shared=True)
+    order = Window.partitionBy("token").orderBy("me.doc", "me.at", "me.cls")
     tried = [F.first("me").over(order.rowsBetween(Window.unboundedPreceding, -1))]
     tried += [F.lag("me", k).over(order) for k in range(1, _LAGS + 1)]
-    me = rows.withColumn("me", facts)
-    ranked = me.select(
-        "token", F.col("me").alias("y"), F.row_number().over(order).alias("nth"), *[c.alias(f"x{k}") for k, c in enumerate(tried)]
-    )
+    ranked = rows.select(
+        "token", "members", F.col("me").alias("y"), F.row_number().over(order).alias("nth"),
+        *[c.alias(f"x{k}") for k, c in enumerate(tried)],
+    )
     star = F.coalesce(*[F.when(F.col(f"x{k}").isNotNull() & _passes(f"x{k}", "y", percent), F.col(f"x{k}")) for k in range(_LAGS + 1)])
-    ranked = ranked.select("token", "y", "nth", star.alias("x"))
-    star_pairs = ranked.where("x is not null").select("x", "y", F.lit(True).alias("star"))
-    # Rows up to place _LAGS + 2 have tried all their predecessors.
-    alone = ranked.where((F.col("x").isNull()) & (F.col("nth") > _LAGS + 2)).select("token", "y")
-    every = me.select("token", F.col("me").alias("x"))
-    met = _meet(alone, every, percent).withColumn("star", F.lit(False))
+    # A line up to place _LAGS + 2 has tried all its predecessors; larger groups are kept whole.
+    met = written(
+        ranked.select("token", "y", "nth", "members", F.explode(F.array(star)).alias("x")).where(F.col("x").isNotNull() | (F.col("members") > _LAGS + 2))
+    )
+    star_pairs = met.where("x is not null").select("x", "y", F.lit(True).alias("star"))
+    alone = met.where(F.col("x").isNull() & (F.col("nth") > _LAGS + 2)).select("token", "y")
+    every = met.where(F.col("members") > _LAGS + 2).select("token", F.col("y").alias("x"))
+    others = _meet(alone, every, percent).withColumn("star", F.lit(False))
 
     def pair(df: DataFrame) -> DataFrame:
-        drop = lambda s: F.struct(*[F.col(f"{s}.{c}") for c in ("doc", "at", "cls", "sketch", "n")]).alias(s)
-        return df.select(drop("x"), drop("y"), "star").groupBy("x", "y").agg(F.max("star").alias("star"))
+        bare = lambda s: F.struct(*[F.col(f"{s}.{c}") for c in ("doc", "at", "cls", "sketch", "n")]).alias(s)
+        return df.select(bare("x"), bare("y"), "star").groupBy("x", "y").agg(F.max("star").alias("star"))
 
-    pairs = written(pair(star_pairs.unionByName(met)))
+    pairs = written(pair(star_pairs.unionByName(others)))
     judged = _verified(pairs, docs, ranks, percent)
-    gone = judged.where("ok").select("y").distinct()
+    gone = written(judged.where("ok").select("y.cls", "y.sketch", "y.n").distinct())
     # Lines that relied on a candidate which failed, and have no other match so far, meet all their groups.
-    again = judged.join(pairs.where("star").select("x", "y"), ["x", "y"], "left_semi").where("not ok").select("y").distinct()
-    again = written(again.join(gone, "y", "left_anti").select("y.cls", "y.sketch", "y.n"))
-    rest = (
-        classes.join(again, ["cls", "sketch", "n"], "left_semi")
-        .select("doc", "at", "cls", "sketch", "n", F.posexplode("prefix").alias("pos", "token"))
-        .select("token", facts.alias("y"))
-    )
-    more = _meet(rest, every, percent).withColumn("star", F.lit(False))
-    last = written(pair(more))
-    late = _verified(last.select("x", "y"), docs, ranks, percent).where("ok").select("y")
-    return gone.unionByName(late).distinct().select("y.cls", "y.sketch", "y.n")
+    failed = judged.where("not ok").join(pairs.where("star").select("x", "y"), ["x", "y"], "left_semi")
+    again = failed.select("y.cls", "y.sketch", "y.n").distinct().join(gone, ["cls", "sketch", "n"], "left_anti")
+    rest = written(_prefix_rows(classes.join(written(again), ["cls", "sketch", "n"], "left_semi")).select("token", F.col("me").alias("y")))
+    if rest.isEmpty():
+        return gone
+    more = _meet(rest, _prefix_rows(classes).select("token", F.col("me").alias("x")), percent).withColumn("star", F.lit(False))
+    more = written(pair(more))
+    if more.isEmpty():
+        return gone
+    late = _verified(more, docs, ranks, percent).where("ok").select("y.cls", "y.sketch", "y.n")
+    return gone.unionByName(late).distinct()
 
 
 def _meet(ys: DataFrame, xs: DataFrame, percent: int) -> DataFrame:
@@ -190,8 +207,8 @@ def dedup_lines(
     Lines are split at line feeds; words are runs of other characters than blanks, lower-cased.
     A line goes if an earlier line (smaller id, or same id and earlier line; removed ones
     included) has a Jaccard similarity of ``percent`` or more. Lines of fewer than LEAST_WORDS distinct words
-    stay. A null text stays null with 0 lines; an empty one has one empty line. A null id sorts
-    first. Rows repeated with id and text count as one place and keep the same lines; rows that
+    stay. A null text stays null with 0 lines; an empty one has one empty line. Lines of rows with a
+    null id are left alone. Rows repeated with id and text count as one place and keep the same lines; rows that
     share an id but not the text are told apart by a hash of the text. Other columns are passed on.
     """
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
@@ -205,14 +222,13 @@ def dedup_lines(
     )
     kept = written(kept)
     rows = docs.withColumn("__hash", F.xxhash64(text_col))
-    joined = rows.join(
-        kept, rows[id_col].eqNullSafe(kept["__id"]) & (rows["__hash"] == kept["__hash"]), "left"
-    ).drop(kept["__hash"])
+    joined = rows.withColumn("__id", F.col(id_col)).join(kept, ["__id", "__hash"], "left")
     lines = F.split(text_col, "\n")
     stays = F.filter(
         lines,
         lambda x, i: F.array_contains(F.coalesce("__kept", F.array().cast("array<int>")), i)
-        | (F.size(F.array_distinct(F.filter(F.split(F.lower(x), f"[{BLANKS}]+"), lambda w: w != ""))) < LEAST_WORDS),
+        | F.col(id_col).isNull()
+        | (F.size(F.array_distinct(_words(x))) < LEAST_WORDS),
     )
     out = joined.withColumn("__lines", stays)
     out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
