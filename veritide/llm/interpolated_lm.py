@@ -35,7 +35,7 @@ BUCKETS = 24
 _END = np.uint64(0xE4D0F7E27ED0F1E5)
 _BEGIN = np.uint64(0xB5A10B7E6C17D5A3)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
-_QUANT = 64  # cells of a log2 unit in the table that weights are learned from
+_QUANT = 8  # cells of a log2 unit in the table that weights are learned from; it goes to the driver
 
 _ROW = "to long, kind int, chunk long, payload binary"
 
@@ -106,15 +106,16 @@ class Chunk:
         before = np.empty_like(now)
         before[1:] = now[:-1]
         before[np.concatenate([[0], self.ends[:-1]])] = _BEGIN
-        keys, at = np.unique(mixed(before * _PAIR + now), return_inverse=True)
+        # 56 bits: the sorted questions pack to five bytes a pair
+        keys, at = np.unique(mixed(before * _PAIR + now) >> np.uint64(8), return_inverse=True)
         return keys, at.reshape(-1)
 
 
-def _asked(chunk: int, keys: np.ndarray, at: np.ndarray, part: np.ndarray, buckets: int) -> list[tuple[int, int, int, bytes]]:
+def _asked(chunk: int, keys: np.ndarray, at: np.ndarray, part: np.ndarray, buckets: int, shift: int) -> list[tuple[int, int, int, bytes]]:
     """Questions of a chunk, one for each bucket: sorted keys with this chunk's counts by part (0 others, 1 deleted)."""
     counts = [_sums(at, part == p, len(keys)).astype(np.uint32) for p in (0, DELETED_PART)]
     # buckets are ranges of the hash, so that sorted keys fall apart in order
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    bucket = ((keys >> np.uint64(shift)) * np.uint64(buckets)) >> np.uint64(32)
     cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
     out = []
     for b in range(buckets):
@@ -142,48 +143,69 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chunks(words_of: int):
-    """(id, part, text) to packed chunks of about ``words_of`` words."""
+    """(id, part, text) to numbered chunks of about ``words_of`` words; deleted texts have chunks of their own, with odd numbers.
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The same rows in the same order give the same chunks; a reader's answers are checked against that.
+    """
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        ids, parts, texts, size, count = [], [], [], 0, 0
+        held: list[tuple[list, list, list]] = [([], [], []), ([], [], [])]
+        size, count = [0, 0], [0, 0]
+
+        def made(k: int) -> tuple[int, Chunk]:
+            out = (task << 32) | (count[k] << 1) | k, Chunk.of(*held[k])
+            held[k], size[k], count[k] = ([], [], []), 0, count[k] + 1
+            return out
+
         for batch in batches:
             for i, p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                t = t.as_py()
-                ids.append(i)
-                parts.append(p)
-                texts.append(t)
-                size += len(t or "") + 64
-                if size > 6 * words_of:
-                    yield _row([((task << 32) | count, 0, -1, Chunk.of(ids, parts, texts).packed())])
-                    ids, parts, texts, size, count = [], [], [], 0, count + 1
-        if ids:
-            yield _row([((task << 32) | count, 0, -1, Chunk.of(ids, parts, texts).packed())])
+                t, k = t.as_py(), int(p == DELETED_PART)
+                for column, x in zip(held[k], (i, p, t), strict=True):
+                    column.append(x)
+                size[k] += len(t or "") + 64
+                if size[k] > 6 * words_of:
+                    yield made(k)
+        for k in range(2):
+            if held[k][0]:
+                yield made(k)
 
     return chunks
 
 
-def _ask(pairs: bool, buckets: int):
-    """Packed chunks to their questions about words or pairs."""
+def _sent(words_of: int, only_deleted: bool):
+    """Texts to packed chunks."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, c in _chunks(words_of)(batches):
+            if number & 1 or not only_deleted:
+                yield _row([(number, 0, -1, c.packed())])
+
+    return send
+
+
+def _ask(pairs: bool, words_of: int, buckets: int):
+    """Texts to their chunks' questions about words or pairs."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, x in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
-                c = Chunk.unpacked(x.as_py())
-                keys, at = c.pairs() if pairs else (c.keys, c.words)
-                yield _row(_asked(number, keys, at, c.parts[c.text], buckets))
+        for number, c in _chunks(words_of)(batches):
+            keys, at = c.pairs() if pairs else (c.keys, c.words)
+            yield _row(_asked(number, keys, at, c.parts[c.text], buckets, 24 if pairs else 32))
 
     return ask
 
 
-def _totals(rows: list[tuple[int, int, bytes]], kind: int) -> list[np.ndarray]:
+def _totals(size: int, rows: list[tuple[int, int, bytes]], kind: int) -> list[np.ndarray]:
     """Answers of one kind put together: buckets are ranges of the sorted keys."""
     got = [_unpack(x) for _, _, x in sorted((r for r in rows if r[0] == kind), key=lambda r: r[1])]
     if not got:
         return [np.zeros(0, np.int64)] * 2
-    return [np.concatenate([g[p] for g in got]).astype(np.int64) for p in range(2)]
+    out = [np.concatenate([g[p] for g in got]).astype(np.int64) for p in range(2)]
+    if len(out[0]) != size:
+        raise RuntimeError("the texts came in another order when they were read again")
+    return out
 
 
 def _context_counts(c: Chunk, counts: np.ndarray, begins: int) -> np.ndarray:
@@ -207,7 +229,7 @@ def _cells(n_main: int, v_main: int, begins_main: int):
         for _, rows in by_bucket(batches, columns=(1, 2, 3)):
             c = Chunk.unpacked(next(x for k, _, x in rows if k == 0))
             keys, at = c.pairs()
-            one, two = _totals(rows, 1)[0], _totals(rows, 3)[0]
+            one, two = _totals(len(c.keys), rows, 1)[0], _totals(len(keys), rows, 3)[0]
             asked = c.parts[c.text] == DELETED_PART
             context = _context_counts(c, one, begins_main)[asked]
             p2 = two[at[asked]] / np.maximum(context, 1)
@@ -257,8 +279,8 @@ def _scores(weights: np.ndarray, n: int, v: int, begins: int):
         for _, rows in by_bucket(batches, columns=(1, 2, 3)):
             c = Chunk.unpacked(next(x for k, _, x in rows if k == 0))
             keys, at = c.pairs()
-            one = sum(_totals(rows, 1))
-            two = sum(_totals(rows, 3))
+            one = sum(_totals(len(c.keys), rows, 1))
+            two = sum(_totals(len(keys), rows, 3))
             context = _context_counts(c, one, begins)
             w = weights[context_bucket(context)]
             seen = one[c.words]
@@ -304,17 +326,17 @@ def score(docs: DataFrame, *, id_col: str, part_col: str, text_col: str = "text"
         got = [np.frombuffer(r[0], np.int64) for r in answers.where("to = -1").select("payload").collect()]
         return np.sum(got, axis=0) if got else np.zeros(4, np.int64)
 
-    # Chunks are dealt once and written, so that every later step sees the same ones.
-    chunks = written(rows.mapInArrow(_chunks(chunk_words), _ROW))
-    words = answered(chunks.mapInArrow(_ask(False, buckets), _ROW))
+    words = answered(rows.mapInArrow(_ask(False, chunk_words, buckets), _ROW))
     v, v_main, n_main, n_deleted = summary(words).tolist()
     starts = {r[0]: r[1] for r in rows.groupBy("part").count().collect()}
     begins_main, begins = starts.get(0, 0), starts.get(0, 0) + starts.get(DELETED_PART, 0)
     n = n_main + n_deleted
-    pairs = answered(chunks.mapInArrow(_ask(True, buckets), _ROW))
-    both = gathered(chunks, words.where("to <> -1"), pairs.where("to <> -1").withColumn("kind", F.lit(3)))
-    cells = both.mapInArrow(_cells(n_main, v_main, begins_main), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    pairs = answered(rows.mapInArrow(_ask(True, chunk_words, buckets), _ROW))
+    answers = words.where("to <> -1").unionByName(pairs.where("to <> -1").withColumn("kind", F.lit(3)))
+    deleted = gathered(rows.mapInArrow(_sent(chunk_words, True), _ROW), answers.where("to % 2 = 1"))
+    cells = deleted.mapInArrow(_cells(n_main, v_main, begins_main), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     weights = learn_weights([(r[0], r[1]) for r in cells.collect()])
+    both = gathered(rows.mapInArrow(_sent(chunk_words, False), _ROW), answers)
     out = both.mapInArrow(_scores(weights, n, v, begins), "id long, n_tokens long, n_known long, base_score double, score double")
     return out.select(
         F.when(F.col("id") != -(1 << 63), F.col("id")).alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
