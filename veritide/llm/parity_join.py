@@ -6,10 +6,10 @@ at most t shingles, so of t + 1 sketch parts at least one is equal (pigeonhole).
 equal parts; the sets themselves verify.
 
 Skew. Equal sets are one class and meet as one. Within a part's group, members first try one
-centre each; only where several components are left do sketches of the group's members meet
-each other, blockwise and in memory, and only pairs of different components that the sketches
-cannot rule out are verified. So no link is lost, and a group of near copies gives a number of
-pairs in proportion to its members.
+centre each, in a few turns; only where several components are left do the group's members meet
+each other in memory, by sketch and then by whole set, and only links that join components are
+handed on. So no component is missed, and a group of near copies gives a number of rows in
+proportion to its members.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ SHINGLE_WORDS = 3
 PERCENT = 90
 
 _PART_BITS = 64
+_TURNS = 3
 
 
 class Bands:
@@ -232,31 +233,75 @@ def _sketches(size: int, percent: int):
     return work
 
 
-def _close_pairs(percent: int):
-    """Rows of one key together (key, node, n, label, sketch): pairs of different labels whose sketches are near enough."""
+def _within(n: np.ndarray, bits: np.ndarray, i: int, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which of ``j`` the sketches cannot rule out as linked with ``i``."""
+    x, y = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    j = j[100 * x >= percent * y]
+    far = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
+    return j[far <= (n[i] + n[j]) * (100 - percent) // (100 + percent)]
+
+
+def _near_others(percent: int):
+    """Rows of one key together (key, node, n, label, sketch): those with a near sketch of another label."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .mail import by_bucket
 
-        for _, rows in by_bucket(batches, columns=(1, 2, 3, 4)):
+        for key, rows in by_bucket(batches, columns=(1, 2, 3, 4)):
             by: dict[int, list] = {}
             for r in rows:
                 by.setdefault(len(r[3]), []).append(r)
             for same in by.values():
                 node, n, label = (np.array([r[k] for r in same], np.int64) for k in range(3))
                 bits = np.frombuffer(b"".join(r[3] for r in same), np.uint64).reshape(len(same), -1)
-                out_a, out_b = [], []
+                near = np.zeros(len(same), bool)
                 for i in range(len(same) - 1):
-                    x, y = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
-                    ok = (label[i + 1 :] != label[i]) & (100 * x >= percent * y)
-                    j = np.flatnonzero(ok) + i + 1
-                    if len(j):
-                        far = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
-                        j = j[far <= (n[i] + n[j]) * (100 - percent) // (100 + percent)]
-                        out_a += [int(node[i])] * len(j)
-                        out_b += node[j].tolist()
-                if out_a:
-                    yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                    j = _within(n, bits, i, np.flatnonzero(label[i + 1 :] != label[i]) + i + 1, percent)
+                    near[j] = True
+                    near[i] |= bool(len(j))
+                if near.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([key] * int(near.sum()), pa.int64()), pa.array(node[near]), pa.array(label[near])], names=["key", "node", "label"]
+                    )
+
+    return work
+
+
+def _set_rows(size: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sets = [s.tobytes() for s in _sets(part.column(1).to_pylist(), size)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return work
+
+
+def _joining_links(percent: int):
+    """Rows of one key together (key, node, label, shingles): verified links that join labels, no more than it takes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .mail import by_bucket
+
+        for _, rows in by_bucket(batches, columns=(1, 2, 3)):
+            node = [r[0] for r in rows]
+            sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+            n = np.array([len(s) for s in sets], np.int64)
+            parts = int(n.max()) // 4 + 1
+            bits = np.stack([sketch(s, parts) for s in sets])
+            label = np.array([r[1] for r in rows], np.int64)
+            out: list[tuple[int, int]] = []
+            for i in range(len(rows) - 1):
+                for j in _within(n, bits, i, np.flatnonzero(label[i + 1 :] != label[i]) + i + 1, percent).tolist():
+                    if label[i] == label[j]:
+                        continue
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        out.append((node[i], node[j]))
+                        label[label == label[j]] = label[i]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
 
     return work
 
@@ -283,9 +328,10 @@ def similarity_classes(
         _shared_keys, "key long, c1 long, c2 long, n long"
     )
     met = written(shared.join(classes, ["c1", "c2", "n"]).select("key", "node", "n"))
-    nodes = written(met.select("node").distinct())
+    nodes = written(met.select("node", F.lit(1).alias("mark")).distinct())
     with runtime_filters(slim.sparkSession):
-        texts = slim.join(nodes.where("node is not null").hint("shuffle_hash"), F.col("id") == F.col("node"), "left_semi")
+        # the filter that is always true lets Spark build its Bloom filter of these ids
+        texts = slim.join(nodes.where("mark = 1").hint("shuffle_hash"), F.col("id") == F.col("node"), "left_semi")
         texts = written(texts.dropDuplicates(["id"]).select(F.col("id").alias("node"), "text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -296,31 +342,40 @@ def similarity_classes(
 
     labels = met.select("node", F.col("node").alias("label")).distinct()
     links = None
-    for turn in range(2):
+    for turn in range(_TURNS):
         new = verified(written(_star(met.join(labels, "node"), turn, percent)))
         links = new if links is None else written(links.unionByName(new))
-        labels = nodes.join(components(links, rounds=2).withColumnRenamed("label", "l"), "node", "left").select(
-            "node", F.coalesce("l", "node").alias("label")
+        reached = components(links)
+        labels = written(
+            nodes.select("node").join(reached.withColumnRenamed("label", "l"), "node", "left").select("node", F.coalesce("l", "node").alias("label"))
         )
-        labels = written(labels)
-    # Where a key's members are still in several components, all of them meet by sketch.
+    # Where a key's members are still in several components, all of them meet: by sketch, then, those
+    # that a sketch of another component comes near, by their whole sets.
     labelled = met.join(labels, "node")
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     rest = written(labelled.join(open_keys, "key", "left_semi"))
-    asked = rest.select("node").distinct()
-    made = written(
-        texts.join(asked, "node", "left_semi").mapInArrow(_sketches(size, percent), "node long, band long, n long, sketch binary")
+    made = texts.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(
+        _sketches(size, percent), "node long, band long, n long, sketch binary"
+    )
+    near = written(
+        rest.select("key", "node", "label")
+        .join(made.select("node", "n", "sketch"), "node")
+        .select("key", "node", "n", "label", "sketch")
+        .repartition("key")
+        .sortWithinPartitions("key", "node")
+        .mapInArrow(_near_others(percent), "key long, node long, label long")
+        .distinct()
     )
-    rows = rest.select("key", "node", "label").join(made.select("node", "n", "sketch"), "node")
-    close = (
-        rows.select("key", "node", "n", "label", "sketch")
+    sets = texts.join(near.select("node").distinct(), "node", "left_semi").mapInArrow(_set_rows(size), "node long, shingles binary")
+    more = written(
+        near.join(sets, "node")
+        .select("key", "node", "label", "shingles")
         .repartition("key")
         .sortWithinPartitions("key", "node")
-        .mapInArrow(_close_pairs(percent), "a long, b long")
+        .mapInArrow(_joining_links(percent), "a long, b long")
         .distinct()
     )
-    links = links.unionByName(verified(written(close)))
-    reached = components(links)
+    reached = components(links.unionByName(more))
     named = classes.join(reached, "node", "left").select(
         "c1", "c2", "n", F.coalesce("label", "node").alias("component_id")
     )
