@@ -14,13 +14,14 @@ def by_bucket(batches: Iterator[pa.RecordBatch], columns: tuple[int, ...] = (1,)
     """
     now, held, begun = None, [], False
     for batch in batches:
-        keys = batch.column(0).to_pylist()
-        cells = [batch.column(c).to_pylist() for c in columns]
-        for k, *row in zip(keys, *cells, strict=True):
-            if begun and k != now:
-                yield now, held
-                held = []
-            now, begun = k, True
-            held.append(row[0] if len(columns) == 1 else tuple(row))
+        for i in range(0, batch.num_rows, 64):  # payloads are large: few at a time become Python objects
+            part = batch.slice(i, 64)
+            cells = [part.column(c).to_pylist() for c in columns]
+            for k, *row in zip(part.column(0).to_pylist(), *cells, strict=True):
+                if begun and k != now:
+                    yield now, held
+                    held = []
+                now, begun = k, True
+                held.append(row[0] if len(columns) == 1 else tuple(row))
     if begun:
         yield now, held

@@ -30,7 +30,8 @@ from .textops import mixed
 LENGTH = 100
 GRAM = 10
 _SEED = 16
-_BATCH = 4 << 20
+_BATCH = 8 << 20
+_PIECE = 1 << 20
 _SHARD = 256 << 10
 _MERGE = 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -40,8 +41,8 @@ _TABLE = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 256, dtyp
 # -- fragments ------------------------------------------------------------------------------
 
 
-def fragments(data: np.ndarray, begins: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, minimizer) of maximal runs of strings with one minimizer.
+def fragments(data: np.ndarray, begins: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, minimizer's hash, its place) of maximal runs of strings with one minimizer.
 
     ``data`` holds texts one after another; ``begins`` their starts, and the end of the last.
     """
@@ -49,7 +50,7 @@ def fragments(data: np.ndarray, begins: np.ndarray, length: int = LENGTH) -> tup
     n = len(data) - _SEED + 1
     width = length - _SEED + 1
     if n < width:
-        return empty, empty, empty.astype(np.uint64)
+        return empty, empty, empty.astype(np.uint64), empty
     x = _TABLE[data]
     h = x[:n].copy()
     for i in range(1, _SEED):
@@ -73,7 +74,21 @@ def fragments(data: np.ndarray, begins: np.ndarray, length: int = LENGTH) -> tup
     stop = np.ones(count, bool)
     stop[:-1] = (at[1:] != at[:-1]) | ~inside[1:]
     last = np.flatnonzero(stop & inside)
-    return start, last + length, h[at[start]]
+    return start, last + length, h[at[start]], at[start]
+
+
+def _fragments_by_piece(data: np.ndarray, begins: np.ndarray, length: int) -> list[np.ndarray]:
+    """Fragments of all texts with a hash of each one's bytes, a few texts at a time, as the arrays in between are large."""
+    parts, i = [], 0
+    while i < len(begins) - 1:
+        j = max(i + 1, int(np.searchsorted(begins, begins[i] + _PIECE, side="right")) - 1)
+        low = begins[i]
+        some = data[low : begins[j]]
+        start, end, seed, mark = fragments(some, begins[i : j + 1] - low, length)
+        what = _content(some, start, end) if len(start) else seed
+        parts.append((start + low, end + low, seed, mark + low, what))
+        i = j
+    return [np.concatenate([p[k] for p in parts]) for k in range(5)]
 
 
 def _content(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -94,11 +109,33 @@ def _gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return data[np.repeat(start - np.cumsum(size) + size, size) + np.arange(total)]
 
 
+def _packed(pack, row: np.ndarray, facts: np.ndarray, gone_row: np.ndarray, gone: np.ndarray, texts: np.ndarray, body: bytes) -> bytes:
+    """Fragments (text, start, size, minimizer, its offset), places of repeated ones, and the bytes, in narrow columns."""
+    used, at = np.unique(np.concatenate([row, gone_row]), return_inverse=True)
+    n, m = len(row), len(gone_row)
+    columns = [texts[used, 0], texts[used, 1], facts[2]]
+    columns += [x.astype(np.uint32) for x in (at.reshape(-1), facts[0] & 0xFFFFFFFF, gone[0] & 0xFFFFFFFF)]
+    columns += [x.astype(np.uint8) for x in (facts[0] >> 32, gone[0] >> 32, facts[1], gone[1], facts[3])]
+    return np.array([n, m, len(used)], np.int64).tobytes() + pack.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns) + body)
+
+
+def _unpacked(unpack, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, hash, start, size, minimizer, its offset) of fragments; (id, hash, start, size) of repeated ones; the bytes."""
+    n, m, used = np.frombuffer(data, np.int64, 3).tolist()
+    raw, at, got = unpack.decompress(data[24:]), 0, []
+    for kind, size in [(np.int64, used)] * 2 + [(np.int64, n), (np.uint32, n + m), (np.uint32, n), (np.uint32, m)] + [(np.uint8, x) for x in (n, m, n, m, n)]:
+        got.append(np.frombuffer(raw, kind, size, at).astype(np.int64))
+        at += size * np.dtype(kind).itemsize
+    ids, hashes, seed, text, low, gone_low, high, gone_high, size, gone_size, mark = got
+    meta = np.stack([ids[text[:n]], hashes[text[:n]], low | (high << 32), size, seed, mark])
+    return meta, np.stack([ids[text[n:]], hashes[text[n:]], gone_low | (gone_high << 32), gone_size]), np.frombuffer(raw, np.uint8, -1, at)
+
+
 def _fragment_mail(buckets: int, length: int):
     """Texts to (bucket, payload). Equal fragments of a batch go once, with the earliest place; the others' places go as spans."""
 
     def mail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         held: list[tuple[int, int, bytes, int]] = []
         size = 0
 
@@ -107,29 +144,28 @@ def _fragment_mail(buckets: int, length: int):
                 return
             data = np.frombuffer(b"".join(x[2] for x in held), np.uint8)
             begins = np.cumsum([0] + [len(x[2]) for x in held])
-            start, end, seed = fragments(data, begins, length)
+            start, end, seed, mark, what = _fragments_by_piece(data, begins, length)
             if len(start):
                 row = np.searchsorted(begins, start, side="right") - 1
-                ids = np.array([x[:2] for x in held], np.int64)[row]
+                texts = np.array([x[:2] for x in held], np.int64)
+                ids = texts[row]
                 at = start - begins[row] + np.array([x[3] for x in held], np.int64)[row]
                 bucket = (seed % np.uint64(buckets)).astype(np.int64)
-                what = _content(data, start, end)
                 order = np.lexsort((at, ids[:, 1], ids[:, 0], what, seed, bucket))
-                start, end, seed, bucket, what, at, ids = (x[order] for x in (start, end, seed, bucket, what, at, ids))
+                start, end, seed, bucket, what, at, ids, mark, row = (x[order] for x in (start, end, seed, bucket, what, at, ids, mark, row))
                 same = np.zeros(len(order), bool)
                 same[1:] = (seed[1:] == seed[:-1]) & (what[1:] == what[:-1])
                 first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
                 # a repeated row's fragment stands at the same place and repeats nothing
                 later = same & ((ids != ids[first]).any(axis=1) | (at != at[first]))
-                meta = np.stack([ids[:, 0], ids[:, 1], at, end - start, seed.view(np.int64)])
+                meta = np.stack([ids[:, 0], ids[:, 1], at, end - start, seed.view(np.int64), mark - start])
                 cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
                 to, out = [], []
                 for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                     k, gone = a + np.flatnonzero(~same[a:b]), a + np.flatnonzero(later[a:b])
-                    sent = np.ascontiguousarray(meta[:, k]).tobytes() + np.ascontiguousarray(meta[:4, gone]).tobytes()
                     body = _gathered(data, start[k], end[k]).tobytes()
                     to.append(int(bucket[a]))
-                    out.append(np.array([len(k), len(gone)], np.int64).tobytes() + pack.compress(sent + body))
+                    out.append(_packed(pack, row[k], meta[2:, k], row[gone], meta[2:4, gone], texts, body))
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "payload"])
             held.clear()
 
@@ -138,8 +174,8 @@ def _fragment_mail(buckets: int, length: int):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 if len(raw) < length:
                     continue
-                for a in range(0, len(raw), _BATCH):  # long texts in pieces that share all but the first byte of a string
-                    piece = raw[a : a + _BATCH + length - 1]
+                for a in range(0, len(raw), _PIECE):  # long texts in pieces that share all but the first byte of a string
+                    piece = raw[a : a + _PIECE + length - 1]
                     if size + len(piece) > _BATCH and held:
                         yield from flush()
                         size = 0
@@ -172,28 +208,35 @@ class Rotations:
 
     def gram_ranks(self) -> np.ndarray:
         """Rank of the first GRAM symbols of each rotation among those of all shards."""
-        high = np.zeros(len(self.symbol), np.int64)
-        low = np.zeros(len(self.symbol), np.int64)
-        for i in range(GRAM):
-            s = self.symbol[self.moved(i)]
-            if i < 7:
-                high = high * 257 + s
-            else:
-                low = low * 257 + s
-        return _ranks(high, low)[0]
-
-
-def _ranks(*keys: np.ndarray) -> tuple[np.ndarray, int]:
-    order = np.lexsort(keys[::-1])
+        letters, code = np.unique(self.symbol, return_inverse=True)
+        code, base = code.reshape(-1), len(letters)
+        # as many symbols as fit into 62 bits make one number; two rounds of ranks do for any alphabet
+        width = GRAM if base**GRAM < 1 << 62 else GRAM // 2
+        key = np.zeros(len(code), np.int64)
+        for i in range(width):
+            key = key * base + code[self.moved(i)]
+        rank, distinct = _ranks(key)
+        return rank if width == GRAM else _ranks(rank * distinct + rank[self.moved(width)])[0]
+
+
+def _ranks(key: np.ndarray) -> tuple[np.ndarray, int]:
+    order = np.argsort(key)
+    s = key[order]
     new = np.zeros(len(order), np.int64)
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
+    new[1:] = s[1:] != s[:-1]
     rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(new)
     return rank, int(new.sum()) + 1
 
 
+def _stable(key: np.ndarray) -> np.ndarray:
+    """Stable order of numbers under 2**32, by radix passes of 16 bits."""
+    order = np.argsort(key.astype(np.uint16), kind="stable")
+    if len(key) and int(key.max()) >> 16:
+        order = order[np.argsort((key >> 16).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 def shard_order(r: Rotations, grams: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The rotations ``rows`` (whole fragments) in order, by doubling; equal ones by place in ``rows``."""
     rank = np.full(len(grams), -1, np.int64)
@@ -201,9 +244,9 @@ def shard_order(r: Rotations, grams: np.ndarray, rows: np.ndarray) -> np.ndarray
     depth = GRAM
     longest = int(r.size[rows].max())
     while distinct < len(rows) and depth < 2 * longest:
-        rank[rows], distinct = _ranks(rank[rows], rank[r.moved(depth)[rows]])
+        rank[rows], distinct = _ranks(rank[rows] * distinct + rank[r.moved(depth)[rows]])
         depth *= 2
-    return rows[np.argsort(rank[rows], kind="stable")]
+    return rows[_stable(rank[rows])]
 
 
 def merged_blocks(orders: list[np.ndarray], before: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,14 +260,14 @@ def merged_blocks(orders: list[np.ndarray], before: np.ndarray, rounds: int) ->
     block = np.zeros(len(shard), np.int64)
     for _ in range(rounds):
         symbols = np.empty(len(shard), np.int64)
-        symbols[np.argsort(shard, kind="stable")] = transform
-        by = np.argsort(symbols, kind="stable")
+        symbols[_stable(shard)] = transform
+        by = _stable(symbols)
         symbols, shard, block = symbols[by], shard[by], block[by]
         new = np.zeros(len(by), np.int64)
         new[1:] = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])
         block = np.cumsum(new)
     rotation = np.empty(len(shard), np.int64)
-    rotation[np.argsort(shard, kind="stable")] = np.concatenate(orders)
+    rotation[_stable(shard)] = np.concatenate(orders)
     return rotation, block
 
 
@@ -251,6 +294,32 @@ def repeated(texts: list[bytes], places: np.ndarray, length: int = LENGTH, shard
     return owner[o], at[o]
 
 
+def _may_repeat(meta: np.ndarray, body: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
+    """Fragments that share more than the minimizer with another one.
+
+    A string holds the minimizer and, of the rest, either half of it to the right or half to
+    the left. So two fragments with a common string agree on one of those two contexts.
+    """
+    half = (length - _SEED) // 2
+    out = np.zeros(meta.shape[1], bool)
+    _, group, count = np.unique(meta[4], return_inverse=True, return_counts=True)
+    many = np.flatnonzero(count[group.reshape(-1)] > 1)
+    mark, size = meta[5][many], meta[3][many]
+    for low, high in ((mark, mark + _SEED + half), (mark - (length - _SEED - half), mark + _SEED)):
+        k = np.flatnonzero((low >= 0) & (high <= size))
+        if not len(k):
+            continue
+        rows = many[k]
+        wide = int((high - low)[k][0])
+        text = body[(first[rows] + low[k])[:, None] + np.arange(wide)]
+        power = np.full(wide, _BASE, np.uint64)
+        np.multiply.accumulate(power, out=power)
+        context = mixed((_TABLE[text] * power).sum(axis=1, dtype=np.uint64)) ^ meta[4][rows].view(np.uint64)
+        _, at, n = np.unique(context, return_inverse=True, return_counts=True)
+        out[rows[n[at.reshape(-1)] > 1]] = True
+    return out
+
+
 def _bucket_spans(length: int):
     """Payloads of a bucket to (id, text hash, start, end) of bytes to remove."""
 
@@ -260,18 +329,17 @@ def _bucket_spans(length: int):
             metas, bodies = [], []
             spans: list[np.ndarray] = []
             for x in payloads:
-                n, m = np.frombuffer(x, np.int64, 2).tolist()
-                raw = unpack.decompress(x[16:])
-                metas.append(np.frombuffer(raw, np.int64, 5 * n).reshape(5, n))
-                gone = np.frombuffer(raw, np.int64, 4 * m, 40 * n).reshape(4, m)
+                part, gone, text = _unpacked(unpack, x)
+                metas.append(part)
                 spans.append(np.stack([gone[0], gone[1], gone[2], gone[2] + gone[3]], 1))
-                bodies.append(np.frombuffer(raw, np.uint8, -1, 40 * n + 32 * m))
+                bodies.append(text)
             meta = np.concatenate(metas, axis=1)
             body = np.concatenate(bodies)
             first = np.cumsum(meta[3]) - meta[3]
-            order = np.argsort(meta[4], kind="stable")
+            order = np.flatnonzero(_may_repeat(meta, body, first, length))
+            order = order[np.argsort(meta[4][order], kind="stable")]
             seed = meta[4][order]
-            change = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1], [True]]))
+            change = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1], [True]])) if len(seed) else np.zeros(1, np.int64)
             group: list[tuple[bytes, int]] = []
             size = 0
 
@@ -330,10 +398,10 @@ def joined_spans(spans: np.ndarray) -> np.ndarray:
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, hash, spans): for each text with repetitions, the byte spans that occur earlier, sorted by start, possibly overlapping."""
-    if length % GRAM:
-        raise ValueError(f"length must be a multiple of {GRAM}")
+    if length % GRAM or not 2 * _SEED <= length <= 130:  # a fragment's size is kept in a byte
+        raise ValueError(f"length must be a multiple of {GRAM} from {2 * _SEED} to 130")
     rows = _keyed(docs, id_col, text_col).select("__id", "__hash", "__text")
-    buckets = buckets_for(docs.select(id_col, text_col), 3 << 20)
+    buckets = buckets_for(docs.select(id_col, text_col), 8 << 20)
     mail = rows.mapInArrow(_fragment_mail(buckets, length), "bucket int, payload binary")
     spans = (
         mail.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_spans(length), "id long, hash long, start long, end long")
