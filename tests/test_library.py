@@ -11,9 +11,9 @@ from veritide.operators import contracts, dedup, fusion, metrics, ranking
 from veritide.operators.retrieval import BM25, dense_top_k, hybrid, recall_at_k
 
 EVIDENCE = {
-    "e1": "Several lines of evidence show that human carbon dioxide emissions warm the climate.",
-    "e2": "Satellites show that Arctic ice declined from 1979 to 2020.",
-    "e3": "CO2 is used to carbonate drinks.",
+    "e1": "Human carbon dioxide emissions raise the heat that stays in the air, many studies find.",
+    "e2": "Arctic ice covered less water in 2020 than in 1979.",
+    "e3": "Bakers let CO2 lift their dough.",
     "e4": "",
 }
 
