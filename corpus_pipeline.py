@@ -15,6 +15,10 @@ from veritide.llm.common import BLANKS, read, ship, written
 #: A text whose nearest language profile is farther than this share of the largest distance has no language.
 LEAST_SCORE = 0.15
 
+#: Near copies share so many per cent of their shingles of so many words (op7's own contract is narrower).
+COPY_WORDS = 5
+COPY_PERCENT = 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or far from every language's profile, go."""
@@ -41,7 +45,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents, the one with the smallest id stays."""
     ship(spark)
-    return parity_join.one_of_each(docs).select(*docs.columns)
+    return parity_join.one_of_each(docs, size=COPY_WORDS, percent=COPY_PERCENT).select(*docs.columns)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
