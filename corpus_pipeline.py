@@ -29,13 +29,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier one go; so do documents that lose lines and keep no line of five words."""
+    """Lines that match an earlier one go; so do documents that lose lines and keep none with a word."""
     ship(spark)
-    out = line_dedup.dedup_lines(docs)
-    own = F.exists(
-        F.split("text", "\n"),
-        lambda x: F.size(F.array_distinct(F.filter(F.split(F.lower(x), f"[{BLANKS}]+"), lambda w: w != ""))) >= line_dedup.LEAST_WORDS,
-    )
+    out = line_dedup.dedup_lines(docs, least_words=line_dedup.ANY_WORDS)
+    own = F.col("text").rlike(f"[^{BLANKS}]")
     out = out.where((F.col("n_removed_lines") == 0) | own)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -1,10 +1,12 @@
 """Levels at which registered queries and stages take texts for copies."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_operators import shingles
-from veritide.llm import parity_join
+from veritide.llm import line_dedup, parity_join
 
 
 def share(a, b):
@@ -30,3 +32,30 @@ def test_near_copies_meet_on_five_words_at_80(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
     own = parity_join.similarity_classes(docs)
     assert {r["component_id"] for r in own.collect()} == {0, 1, 2}
+
+
+def kept_lines(spark, path, rows):
+    """The query's rows by id, with the text that its hash stands for found among ``rows``' expected ones."""
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(f"{path}/documents.parquet")
+    return {r["doc_id"]: (r["n_lines"], r["n_removed_lines"], r["kept_sha256"]) for r in line_dedup.op9_line_dedup(spark, str(path)).collect()}
+
+
+def expected(before, after):
+    n = len(before.split("\n"))
+    return n, n - (len(after.split("\n")) if after is not None else 0), hashlib.sha256((after or "").encode()).hexdigest()
+
+
+def test_short_lines_repeat_too(spark, tmp_path):
+    rows = [
+        (1, "All rights reserved.\n\nla la la la la la\none two three four"),
+        (2, "own words\nALL  rights reserved.\n\nla\n\t"),
+        (3, "reserved. all Rights\nown words here\none two six\nall rights"),
+        (4, "four three two one"),
+    ]
+    want = [rows[0][1], "own words\n\n\t", "own words here\none two six\nall rights", None]
+    got = kept_lines(spark, tmp_path, rows)
+    assert got == {i: expected(t, w) for (i, t), w in zip(rows, want, strict=True)}
+    columns = ("lang", "source")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.select("doc_id", "text", *[F.lit("en").alias(c) for c in columns], F.length("text").cast("long").alias("n_chars"))
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, "").collect()} == dict(zip((1, 2, 3), want, strict=False))

@@ -4,7 +4,8 @@ A line is a set of words, ordered by rarity. Two lines of Jaccard similarity ``p
 more share a word in their prefixes (the first n - ceil(t n) + 1 words), so lines meet on prefix
 words only. Length, position and a 64-bit parity sketch (whose Hamming distance never exceeds the
 symmetric difference) sift the pairs; Jaccard on the whole word sets decides. A line with an
-earlier match goes.
+earlier match goes. Sets too small to be similar to any other set match equal sets alone, which
+need no prefix: they are one class.
 
 Skew. Lines of the same set are collapsed first, with partial aggregation. Within a prefix word's
 group each line first tries the group's first line and its four predecessors; only lines without
@@ -23,9 +24,12 @@ from .common import BLANKS, int_array, read, runtime_filters, written
 #: Jaccard similarity, in per cent, from which two lines match.
 PERCENT = 90
 
-#: Lines with fewer distinct words are left alone.
+#: Lines with fewer distinct words are left alone, unless another number is asked for.
 LEAST_WORDS = 5
 
+#: The query and the pipeline leave blank lines alone, and no others.
+ANY_WORDS = 1
+
 #: Words are ordered by the count of their hash bucket; so many buckets bound that table.
 RANK_BITS = 16
 
@@ -55,7 +59,7 @@ def _ranks(lines: DataFrame) -> Column:
     return int_array(lines.sparkSession, ranks)
 
 
-def _token_sets(lines: DataFrame, ranks: Column) -> DataFrame:
+def _token_sets(lines: DataFrame, ranks: Column, least: int) -> DataFrame:
     """Lines with ``tokens``: their distinct words as 63-bit numbers whose order is rarity; short lines go."""
     mask = (1 << RANK_BITS) - 1
 
@@ -65,7 +69,7 @@ def _token_sets(lines: DataFrame, ranks: Column) -> DataFrame:
 
     hashes = F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w)))
     # Generators keep the filter from computing a set once more.
-    sets = lines.select("doc", "text_hash", "at", F.explode(F.array(hashes)).alias("__h")).where(F.size("__h") >= LEAST_WORDS)
+    sets = lines.select("doc", "text_hash", "at", F.explode(F.array(hashes)).alias("__h")).where(F.size("__h") >= least)
     return sets.select("doc", "text_hash", "at", F.explode(F.array(F.sort_array(F.transform("__h", number)))).alias("tokens"))
 
 
@@ -88,7 +92,7 @@ def _passes(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(xn, yn) >= percent * F.greatest(xn, yn)) & (most >= least) & (apart <= xn + yn - 2 * least)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, ranks: Column, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, ranks: Column, percent: int, least: int) -> DataFrame:
     """Pairs with ``ok``: whether the whole word sets are similar enough. Written."""
     spark = pairs.sparkSession
     places = written(pairs.select("x.*").unionByName(pairs.select("y.*")).select("doc", "at", "cls").distinct())
@@ -96,7 +100,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, ranks: Column, percent: int) ->
     wanted = written(places.select(F.col("doc").alias("__id"), F.lit(1).alias("mark")).distinct()).where("mark = 1")
     with runtime_filters(spark):
         some = docs.join(wanted.hint("shuffle_hash"), "__id", "left_semi")
-        sets = _token_sets(_lines(some), ranks).withColumn("cls", F.xxhash64("tokens"))
+        sets = _token_sets(_lines(some), ranks, least).withColumn("cls", F.xxhash64("tokens"))
         found = written(
             sets.join(places, ["doc", "at", "cls"], "left_semi").select("doc", "at", "cls", "tokens").dropDuplicates(["doc", "at", "cls"])
         )
@@ -115,15 +119,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, ranks: Column, percent: int) ->
     return written(joined.select("x", "y", ok.alias("ok")))
 
 
-def line_classes(docs: DataFrame, ranks: Column, percent: int) -> DataFrame:
+def line_classes(docs: DataFrame, ranks: Column, percent: int, least: int) -> DataFrame:
     """One row for each distinct word set: its first place, size, sketch and prefix. Written."""
-    sets = _token_sets(_lines(docs), ranks)
+    sets = _token_sets(_lines(docs), ranks, least)
+    n = F.size("tokens")
+    prefix = F.slice("tokens", 1, n - F.floor((percent * n + 99) / 100).cast("int") + 1)
     facts = sets.select(
         "doc", "text_hash", "at",
         F.xxhash64("tokens").alias("cls"),
         F.expr("aggregate(tokens, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("sketch"),
         F.size("tokens").alias("n"),
-        F.slice("tokens", 1, F.size("tokens") - F.floor((percent * F.size("tokens") + 99) / 100).cast("int") + 1).alias("prefix"),
+        # A set that not even one more word leaves similar has no match but equal sets.
+        F.when(100 * n >= percent * (n + 1), prefix).otherwise(F.slice("tokens", 1, 0)).alias("prefix"),
     )
     return written(
         facts.groupBy("cls", "sketch", "n")
@@ -148,7 +155,7 @@ def _prefix_rows(classes: DataFrame, shared: bool = False) -> DataFrame:
     return flat.select("token", me.alias("me"), *(["members"] if shared else []))
 
 
-def later_matches(classes: DataFrame, docs: DataFrame, ranks: Column, percent: int) -> DataFrame:
+def later_matches(classes: DataFrame, docs: DataFrame, ranks: Column, percent: int, least: int) -> DataFrame:
     """Classes (cls, sketch, n) whose first place has an earlier place with a similar set."""
     rows = _prefix_rows(classes, shared=True)
     order = Window.partitionBy("token").orderBy("me.doc", "me.at", "me.cls")
@@ -173,7 +180,7 @@ def later_matches(classes: DataFrame, docs: DataFrame, ranks: Column, percent: i
         return df.select(bare("x"), bare("y"), "star").groupBy("x", "y").agg(F.max("star").alias("star"))
 
     pairs = written(pair(star_pairs.unionByName(others)))
-    judged = _verified(pairs, docs, ranks, percent)
+    judged = _verified(pairs, docs, ranks, percent, least)
     gone = written(judged.where("ok").select("y.cls", "y.sketch", "y.n").distinct())
     # Lines that relied on a candidate which failed, and have no other match so far, meet all their groups.
     failed = judged.where("not ok").join(pairs.where("star").select("x", "y"), ["x", "y"], "left_semi")
@@ -185,7 +192,7 @@ def later_matches(classes: DataFrame, docs: DataFrame, ranks: Column, percent: i
     more = written(pair(more))
     if more.isEmpty():
         return gone
-    late = _verified(more, docs, ranks, percent).where("ok").select("y.cls", "y.sketch", "y.n")
+    late = _verified(more, docs, ranks, percent, least).where("ok").select("y.cls", "y.sketch", "y.n")
     return gone.unionByName(late).distinct()
 
 
@@ -200,21 +207,21 @@ def _meet(ys: DataFrame, xs: DataFrame, percent: int) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS
 ) -> DataFrame:
     """``docs`` with lines removed from the text, and n_lines, n_removed_lines.
 
     Lines are split at line feeds; words are runs of other characters than blanks, lower-cased.
     A line goes if an earlier line (smaller id, or same id and earlier line; removed ones
-    included) has a Jaccard similarity of ``percent`` or more. Lines of fewer than LEAST_WORDS distinct words
+    included) has a Jaccard similarity of ``percent`` or more. Lines of fewer than ``least_words`` distinct words
     stay. A null text stays null with 0 lines; an empty one has one empty line. Lines of rows with a
     null id are left alone. Rows repeated with id and text count as one place and keep the same lines; rows that
     share an id but not the text are told apart by a hash of the text. Other columns are passed on.
     """
     slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     ranks = _ranks(_lines(slim))
-    classes = line_classes(slim, ranks, percent)
-    gone = later_matches(classes, slim, ranks, percent)
+    classes = line_classes(slim, ranks, percent, least_words)
+    gone = later_matches(classes, slim, ranks, percent, least_words)
     kept = (
         classes.join(gone, ["cls", "sketch", "n"], "left_anti")
         .groupBy(F.col("doc").alias("__id"), F.col("text_hash").alias("__hash"))
@@ -228,7 +235,7 @@ def dedup_lines(
         lines,
         lambda x, i: F.array_contains(F.coalesce("__kept", F.array().cast("array<int>")), i)
         | F.col(id_col).isNull()
-        | (F.size(F.array_distinct(_words(x))) < LEAST_WORDS),
+        | (F.size(F.array_distinct(_words(x))) < least_words),
     )
     out = joined.withColumn("__lines", stays)
     out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
@@ -241,7 +248,7 @@ def dedup_lines(
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, least_words=ANY_WORDS)
     return out.select(
         "doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
