@@ -31,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier one go; so do documents that lose lines and keep none with a word."""
     ship(spark)
-    out = line_dedup.dedup_lines(docs, least_words=line_dedup.ANY_WORDS)
+    out = line_dedup.dedup_lines(docs, percent=line_dedup.NEAR_PERCENT, least_words=line_dedup.ANY_WORDS)
     own = F.col("text").rlike(f"[^{BLANKS}]")
     out = out.where((F.col("n_removed_lines") == 0) | own)
     if "n_chars" in docs.columns:

@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_operators import shingles
+from tests.llm.test_operators import SF, WORD, shingles
 from veritide.llm import line_dedup, parity_join
 
 
@@ -59,3 +59,23 @@ def test_short_lines_repeat_too(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     docs = docs.select("doc_id", "text", *[F.lit("en").alias(c) for c in columns], F.length("text").cast("long").alias("n_chars"))
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, "").collect()} == dict(zip((1, 2, 3), want, strict=False))
+
+
+def test_lines_match_from_80_on(spark, tmp_path):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 100").collect()]
+    line = " ".join(f"w{i}" for i in range(20))
+    rows += [(1000, f"{line}\np q r s"), (1001, line.replace("w3 ", "z3 ").replace("w9 ", "z9 ")), (1002, "p q r s t\np q r\np q r t u v"), (1003, "p q r s t u")]
+    seen, want, between = [], {}, 0
+    for i, text in sorted(rows):
+        kept = []
+        for x in text.split("\n"):
+            s = frozenset(WORD.findall(x.lower()))
+            best = max((100 * len(s & o) / len(s | o) for o in seen), default=0) if s else 0
+            between += 80 <= best < 90
+            if best < 80:
+                kept.append(x)
+            if s:
+                seen.append(s)
+        want[i] = expected(text, "\n".join(kept) if kept else None)
+    got = kept_lines(spark, tmp_path, rows)
+    assert between > 1 and got == want

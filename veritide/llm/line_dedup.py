@@ -30,6 +30,9 @@ LEAST_WORDS = 5
 #: The query and the pipeline leave blank lines alone, and no others.
 ANY_WORDS = 1
 
+#: The query and the pipeline take lines for near duplicates from this level on.
+NEAR_PERCENT = 80
+
 #: Words are ordered by the count of their hash bucket; so many buckets bound that table.
 RANK_BITS = 16
 
@@ -248,7 +251,7 @@ def dedup_lines(
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs, least_words=ANY_WORDS)
+    out = dedup_lines(docs, percent=NEAR_PERCENT, least_words=ANY_WORDS)
     return out.select(
         "doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
