@@ -434,7 +434,7 @@ def ann_recall(spark, d):
     from ..operators.ann import ivf_top_k
 
     e = I.table(spark, d, "embeddings")
-    q = e.where("vec_id % 25 = 0")
+    q = e.where("vec_id % 20 = 0")
     return rounded(recall_at_k(dense_top_k(e, q, 10), ivf_top_k(e, q, 10, cells=16, probes=8), 10))
 
 
@@ -443,7 +443,7 @@ def ivf_topk(spark, d):
     from ..operators.ann import ivf_top_k
 
     e = I.table(spark, d, "embeddings")
-    return rounded(ivf_top_k(e, e.where("vec_id % 25 = 0"), 10, cells=16, probes=8).select("query_id", "doc_id", "score", "rank"))
+    return rounded(ivf_top_k(e, e.where("vec_id % 20 = 0"), 10, cells=16, probes=8).select("query_id", "doc_id", "score", "rank"))
 
 
 @_query()
