@@ -240,9 +240,9 @@ def test_url_filter_rules(spark):
 # -- 7 --------------------------------------------------------------------------------------
 
 
-def shingles(t):
+def shingles(t, size=3):
     w = WORD.findall(low(t or ""))
-    return frozenset() if not w else frozenset([tuple(w)]) if len(w) < 3 else frozenset(zip(w, w[1:], w[2:], strict=False))
+    return frozenset() if not w else frozenset([tuple(w)]) if len(w) < size else frozenset(zip(*(w[i:] for i in range(size)), strict=False))
 
 
 def components_of(sets, linked):
@@ -293,6 +293,32 @@ def test_bands_cover_all_linkable_sizes():
                 assert c in (b, b + 1) and (x + y) * 10 // 190 <= bands.apart(b)
 
 
+def test_rows_that_share_an_id_link_by_their_own_texts(spark):
+    base, other = (" ".join(f"{c}{i}" for i in range(80)) for c in "wq")
+    rows = [(1, base), (1, other), (3, other + " y"), (5, base + " x"), (3, "alone in this text"), (3, "alone in this text"), (None, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rest", F.lit(7)).withColumn("hash", F.lit(8)).withColumn("id", F.lit(9))
+    got = Counter((r["doc_id"], r["component_id"]) for r in parity_join.similarity_classes(docs).collect())
+    assert got == Counter({(1, 1): 2, (3, 1): 1, (5, 1): 1, (3, 3): 2, (None, None): 1})
+    kept = parity_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert Counter(rows_of(kept, "doc_id", "text", "rest", "hash", "id")) == Counter([(*r, 7, 8, 9) for r in rows if r[0] in (1, None) or r[1].startswith("alone")])
+
+
+def test_large_open_groups_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "BLOCK", 3)
+    random.seed(5)
+    texts = []
+    for k in range(60):
+        words = [f"w{i}" for i in range(120)]
+        for _ in range(k % 7):
+            words[random.randrange(120)] = f"z{random.randrange(9)}"
+        texts.append(" ".join(words))
+    got = {r["doc_id"]: r["component_id"] for r in parity_join.similarity_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [shingles(t) for t in texts]
+    roots = components_of(sets, lambda a, b: 100 * len(a & b) >= 90 * len(a | b))
+    assert all((got[i] == got[j]) == (roots[i] == roots[j]) for i in range(60) for j in range(60))
+
+
 # -- 8 --------------------------------------------------------------------------------------
 
 
@@ -353,8 +379,8 @@ def test_line_dedup_matches_brute_force(docs):
     for i, t in places:
         for k, line in enumerate(t.split("\n")):
             s = frozenset(WORD.findall(line.lower()))
-            if len(s) >= 5:
-                if any(100 * len(s & o) >= 90 * len(s | o) for o in seen):
+            if s:
+                if any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
                     gone.add((i, t, k))
                 seen.append(s)
     want = Counter()

@@ -62,15 +62,61 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir[app]
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Let Spark remove an action's shuffle files when the action ends: what it wrote or returned replaces them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a reread, never a recomputation.
+    This cuts the lineage: a lost executor costs a reread, never a recomputation. The shuffle
+    files that made the table go when it stands; :func:`drop` deletes the table itself.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), "veritide-tables", uuid.uuid4().hex)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = os.path.join(shared_dir(spark), "veritide-tables", spark.sparkContext.applicationId, uuid.uuid4().hex)
+    with tidy(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._veritide_path = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete written tables whose last reader has ended."""
+    for t in tables:
+        if t is None or not hasattr(t, "_veritide_path"):
+            continue
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(t._veritide_path)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def rows_of(df: DataFrame) -> list:
+    """Collect a frame whose size is bounded, and leave no shuffle files."""
+    with tidy(df.sparkSession):
+        return df.collect()
+
+
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, rest): all other columns in one struct, so that no inner name can clash with them."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    rest = F.struct(*others) if others else F.lit(None).cast("int")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], id_col: str, text_col: str, **added: Column) -> DataFrame:
+    """The columns that :func:`packed` took, in their order, then ``added``; an added name replaces a column of that name."""
+    own = {id_col: F.col("id").alias(id_col), text_col: F.col("text").alias(text_col)}
+    kept = [own.get(c, F.col(f"rest.`{c}`").alias(c)) for c in columns if c not in added]
+    return rows.select(*kept, *[v.alias(k) for k, v in added.items()])
 
 
 def estimated_bytes(df: DataFrame) -> int:

@@ -4,39 +4,33 @@ A line is a set of words, ordered by rarity. Two lines of Jaccard similarity ``p
 more share a word in their prefixes (the first n - ceil(t n) + 1 words), so lines meet on prefix
 words only. Length, position and a 64-bit parity sketch (whose Hamming distance never exceeds the
 symmetric difference) sift the pairs; Jaccard on the whole word sets decides. A line with an
-earlier match goes. Sets too small to be similar to any other set match equal sets alone, which
-need no prefix: they are one class.
-
-Skew. Lines of the same set are collapsed first, with partial aggregation. Within a prefix word's
-group each line first tries the group's first line and its four predecessors; only lines without
-a candidate among them meet the whole group, so a large group of near copies gives a number of
-pairs in proportion to its lines. A line whose candidates all fail the exact test meets all
-its groups in a last round. No line is left untried.
+earlier match goes. Lines of the same set are one class, whose first place alone can stay; sets
+too small to be similar to any other set need no prefix.
+
+Skew. Classes are collapsed with partial aggregation before anything meets. Words in the prefixes
+of up to HOT classes let all their classes meet; a class first tries its earliest candidate, then
+the others. Of a more frequent word, every class first tries the word's earliest class, so a
+large group of near copies gives a number of pairs in proportion to its lines; classes without
+a match meet all classes of the word, dealt into blocks of HOT. No class is left untried.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, int_array, read, runtime_filters, written
+from .common import BLANKS, drop, int_array, let, packed, read, rows_of, runtime_filters, unpacked, written
 
 #: Jaccard similarity, in per cent, from which two lines match.
-PERCENT = 90
-
-#: Lines with fewer distinct words are left alone, unless another number is asked for.
-LEAST_WORDS = 5
-
-#: The query and the pipeline leave blank lines alone, and no others.
-ANY_WORDS = 1
-
-#: The query and the pipeline take lines for near duplicates from this level on.
-NEAR_PERCENT = 80
+PERCENT = 80
 
 #: Words are ordered by the count of their hash bucket; so many buckets bound that table.
-RANK_BITS = 16
+RANK_BITS = 17
 
-_LAGS = 3
+#: A word in the prefixes of more classes than this is met in two steps, and in blocks of so many classes.
+HOT = 256
+
+_CLASS = ("cls", "sketch", "n")
 
 
 def _words(line: Column | str) -> Column:
@@ -48,210 +42,185 @@ def _words(line: Column | str) -> Column:
     return F.array_remove(F.when(other, F.split(low, f"[{BLANKS}]+")).otherwise(F.split(low, " ")), "")
 
 
-def _ranks(lines: DataFrame) -> Column:
+def _lines(rows: DataFrame) -> DataFrame:
+    """(doc, text_hash, line number, line) of every row with an id and a text."""
+    known = rows.where("text is not null and id is not null").select("text", F.col("id").alias("doc"), F.xxhash64("text").alias("text_hash"))
+    return known.select("doc", "text_hash", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+
+
+def _ranks(rows: DataFrame) -> Column:
     """Place of each hash bucket by its number of words over all lines, rarest first (a fixed-size array)."""
-    size = 1 << RANK_BITS
-    words = lines.select(F.explode(_words("line")).alias("word"))
-    counts = words.groupBy((F.xxhash64("word").bitwiseAND(F.lit(size - 1))).alias("bucket")).count().collect()
-    count = [0] * size
-    for r in counts:
-        count[r[0]] = r[1]
-    ranks = [0] * size
-    for place, bucket in enumerate(sorted(range(size), key=lambda b: (count[b], b))):
+    words = rows.where("text is not null and id is not null").select(F.explode(_words(F.translate("text", "\n", " "))).alias("word"))
+    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit((1 << RANK_BITS) - 1)).alias("bucket")).count()
+    order = rows_of(counts.agg(F.sort_array(F.collect_list(F.struct("count", "bucket")))["bucket"].alias("order")))[0][0]
+    ranks = [0] * (1 << RANK_BITS)
+    for place, bucket in enumerate(order, 1):
         ranks[bucket] = place
-    return int_array(lines.sparkSession, ranks)
+    return int_array(rows.sparkSession, ranks)
 
 
-def _token_sets(lines: DataFrame, ranks: Column, least: int) -> DataFrame:
-    """Lines with ``tokens``: their distinct words as 63-bit numbers whose order is rarity; short lines go."""
+def line_classes(rows: DataFrame, ranks: Column, percent: int) -> DataFrame:
+    """One row for each distinct word set: its first place, size, sketch and prefix. Written."""
     mask = (1 << RANK_BITS) - 1
 
     def number(h: Column) -> Column:
         place = F.get(ranks, h.bitwiseAND(F.lit(mask)).cast("int")).cast("long")
-        return F.shiftleft(place, 63 - RANK_BITS).bitwiseOR(F.shiftrightunsigned(h, RANK_BITS + 1))
+        return F.shiftleft(place, 62 - RANK_BITS).bitwiseOR(F.shiftrightunsigned(h, RANK_BITS + 2))
 
     hashes = F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w)))
     # Generators keep the filter from computing a set once more.
-    sets = lines.select("doc", "text_hash", "at", F.explode(F.array(hashes)).alias("__h")).where(F.size("__h") >= least)
-    return sets.select("doc", "text_hash", "at", F.explode(F.array(F.sort_array(F.transform("__h", number)))).alias("tokens"))
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, text_hash, line number, line) of every row with an id and a text."""
-    return docs.where("__text is not null and __id is not null").select(
-        F.col("__id").alias("doc"),
-        F.xxhash64("__text").alias("text_hash"),
-        F.posexplode(F.split("__text", "\n")).alias("at", "line"),
-    )
-
-
-def _passes(x: str, y: str, percent: int) -> Column:
-    """Length, position and sketch filters; none of them drops a match."""
-    c = lambda side, name: F.col(f"{side}.{name}").cast("long") if name != "sketch" else F.col(f"{side}.{name}")
-    xn, yn = c(x, "n"), c(y, "n")
-    least = F.ceil((percent * (xn + yn)) / F.lit(100.0 + percent) - F.lit(1e-9))
-    most = F.least(c(x, "pos"), c(y, "pos")) + 1 + F.least(xn - c(x, "pos") - 1, yn - c(y, "pos") - 1)
-    apart = F.bit_count(c(x, "sketch").bitwiseXOR(c(y, "sketch")))
-    return (100 * F.least(xn, yn) >= percent * F.greatest(xn, yn)) & (most >= least) & (apart <= xn + yn - 2 * least)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, ranks: Column, percent: int, least: int) -> DataFrame:
-    """Pairs with ``ok``: whether the whole word sets are similar enough. Written."""
-    spark = pairs.sparkSession
-    places = written(pairs.select("x.*").unionByName(pairs.select("y.*")).select("doc", "at", "cls").distinct())
-    # The filter that is always true lets Spark build its Bloom filter of these ids.
-    wanted = written(places.select(F.col("doc").alias("__id"), F.lit(1).alias("mark")).distinct()).where("mark = 1")
-    with runtime_filters(spark):
-        some = docs.join(wanted.hint("shuffle_hash"), "__id", "left_semi")
-        sets = _token_sets(_lines(some), ranks, least).withColumn("cls", F.xxhash64("tokens"))
-        found = written(
-            sets.join(places, ["doc", "at", "cls"], "left_semi").select("doc", "at", "cls", "tokens").dropDuplicates(["doc", "at", "cls"])
-        )
-
-    def tokens_of(side: str) -> DataFrame:
-        place = F.struct("doc", "at", "cls").alias(f"{side}_place")
-        return found.select(place, F.col("tokens").alias(f"{side}_tokens"))
-
-    joined = (
-        pairs.select("x", "y", *[F.struct(f"{c}.doc", f"{c}.at", f"{c}.cls").alias(f"{c}_place") for c in "xy"])
-        .join(tokens_of("x"), "x_place")
-        .join(tokens_of("y"), "y_place")
-    )
-    both = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    ok = 100 * both >= percent * (F.size("x_tokens") + F.size("y_tokens") - both)
-    return written(joined.select("x", "y", ok.alias("ok")))
-
-
-def line_classes(docs: DataFrame, ranks: Column, percent: int, least: int) -> DataFrame:
-    """One row for each distinct word set: its first place, size, sketch and prefix. Written."""
-    sets = _token_sets(_lines(docs), ranks, least)
+    sets = _lines(rows).select("doc", "text_hash", "at", F.explode(F.array(hashes)).alias("hashes")).where(F.size("hashes") > 0)
+    sets = sets.select("doc", "text_hash", "at", F.explode(F.array(F.sort_array(F.transform("hashes", number)))).alias("tokens"))
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, n - F.floor((percent * n + 99) / 100).cast("int") + 1)
     facts = sets.select(
         "doc", "text_hash", "at",
         F.xxhash64("tokens").alias("cls"),
         F.expr("aggregate(tokens, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("sketch"),
-        F.size("tokens").alias("n"),
+        n.alias("n"),
         # A set that not even one more word leaves similar has no match but equal sets.
         F.when(100 * n >= percent * (n + 1), prefix).otherwise(F.slice("tokens", 1, 0)).alias("prefix"),
     )
-    return written(
-        facts.groupBy("cls", "sketch", "n")
-        .agg(F.min(F.struct("doc", "at", "text_hash", "prefix")).alias("first"))
-        .select("cls", "sketch", "n", "first.*")
-    )
+    return written(facts.groupBy(*_CLASS).agg(F.min(F.struct("doc", "at", "text_hash", "prefix")).alias("first")).select(*_CLASS, "first.*"))
 
 
-def _prefix_rows(classes: DataFrame, shared: bool = False) -> DataFrame:
-    """A row for each prefix word of each class: the word, and the class as ``me``; only of shared words, if asked, which shuffles flat rows by word."""
-    flat = classes.select(
-        "doc", "at", "cls", "sketch", (F.shiftleft(F.col("n").cast("long"), 24)).alias("size"), F.posexplode("prefix").alias("pos", "token")
-    ).select("token", "doc", "at", "cls", "sketch", F.col("size").bitwiseOR(F.col("pos").cast("long")).alias("size"))
-    if shared:
-        members = F.count("*").over(Window.partitionBy("token"))
-        flat = flat.withColumn("members", members).where("members > 1")
-    me = F.struct(
-        "doc", "at", "cls", "sketch",
-        F.shiftright("size", 24).cast("int").alias("n"),
-        F.col("size").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("pos"),
-    )
-    return flat.select("token", me.alias("me"), *(["members"] if shared else []))
-
-
-def later_matches(classes: DataFrame, docs: DataFrame, ranks: Column, percent: int, least: int) -> DataFrame:
-    """Classes (cls, sketch, n) whose first place has an earlier place with a similar set."""
-    rows = _prefix_rows(classes, shared=True)
-    order = Window.partitionBy("token").orderBy("me.doc", "me.at", "me.cls")
-    tried = [F.first("me").over(order.rowsBetween(Window.unboundedPreceding, -1))]
-    tried += [F.lag("me", k).over(order) for k in range(1, _LAGS + 1)]
-    ranked = rows.select(
-        "token", "members", F.col("me").alias("y"), F.row_number().over(order).alias("nth"),
-        *[c.alias(f"x{k}") for k, c in enumerate(tried)],
-    )
-    star = F.coalesce(*[F.when(F.col(f"x{k}").isNotNull() & _passes(f"x{k}", "y", percent), F.col(f"x{k}")) for k in range(_LAGS + 1)])
-    # A line up to place _LAGS + 2 has tried all its predecessors; larger groups are kept whole.
-    met = written(
-        ranked.select("token", "y", "nth", "members", F.explode(F.array(star)).alias("x")).where(F.col("x").isNotNull() | (F.col("members") > _LAGS + 2))
-    )
-    star_pairs = met.where("x is not null").select("x", "y", F.lit(True).alias("star"))
-    alone = met.where(F.col("x").isNull() & (F.col("nth") > _LAGS + 2)).select("token", "y")
-    every = met.where(F.col("members") > _LAGS + 2).select("token", F.col("y").alias("x"))
-    others = _meet(alone, every, percent).withColumn("star", F.lit(False))
-
-    def pair(df: DataFrame) -> DataFrame:
-        bare = lambda s: F.struct(*[F.col(f"{s}.{c}") for c in ("doc", "at", "cls", "sketch", "n")]).alias(s)
-        return df.select(bare("x"), bare("y"), "star").groupBy("x", "y").agg(F.max("star").alias("star"))
-
-    pairs = written(pair(star_pairs.unionByName(others)))
-    judged = _verified(pairs, docs, ranks, percent, least)
-    gone = written(judged.where("ok").select("y.cls", "y.sketch", "y.n").distinct())
-    # Lines that relied on a candidate which failed, and have no other match so far, meet all their groups.
-    failed = judged.where("not ok").join(pairs.where("star").select("x", "y"), ["x", "y"], "left_semi")
-    again = failed.select("y.cls", "y.sketch", "y.n").distinct().join(gone, ["cls", "sketch", "n"], "left_anti")
-    rest = written(_prefix_rows(classes.join(written(again), ["cls", "sketch", "n"], "left_semi")).select("token", F.col("me").alias("y")))
-    if rest.isEmpty():
-        return gone
-    more = _meet(rest, _prefix_rows(classes).select("token", F.col("me").alias("x")), percent).withColumn("star", F.lit(False))
-    more = written(pair(more))
-    if more.isEmpty():
-        return gone
-    late = _verified(more, docs, ranks, percent, least).where("ok").select("y.cls", "y.sketch", "y.n")
-    return gone.unionByName(late).distinct()
+def _prefix_rows(classes: DataFrame) -> DataFrame:
+    """(token, cls, sketch, n, pos): a row for each prefix word of each class."""
+    return classes.select(*_CLASS, F.posexplode("prefix").alias("pos", "token"))
 
 
-def _meet(ys: DataFrame, xs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of rows that share a token, x earlier than y, and pass the filters."""
-    place = lambda s: F.struct(f"{s}.doc", f"{s}.at", f"{s}.cls")
-    a, b = ys.alias("a"), xs.alias("b")
-    return (
-        a.join(b, (F.col("a.token") == F.col("b.token")) & (place("x") < place("y")) & _passes("x", "y", percent))
-        .select("x", "y")
-    )
+def _side(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select("token", *[F.col(c).alias(f"{name}_{c}") for c in (*_CLASS, "pos")], *[c for c in rows.columns if c == "block"])
+
+
+def _passes(percent: int) -> Column:
+    """Length, position and sketch filters on sides a and b; none of them drops a match."""
+    an, bn = F.col("a_n").cast("long"), F.col("b_n").cast("long")
+    least = F.floor((percent * (an + bn) + 99 + percent) / (100 + percent)).cast("long")
+    most = F.least("a_pos", "b_pos") + 1 + F.least(an - F.col("a_pos") - 1, bn - F.col("b_pos") - 1)
+    apart = F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch")))
+    return (100 * F.least(an, bn) >= percent * F.greatest(an, bn)) & (most >= least) & (apart <= an + bn - 2 * least)
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(*[f"{s}_{c}" for s in "ab" for c in _CLASS]).distinct()
 
 
-def dedup_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, least_words: int = LEAST_WORDS
-) -> DataFrame:
+def _placed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs as (x, y), structs with the place and key of the earlier and the later class."""
+    place = F.struct("doc", "at", *_CLASS, "text_hash")
+    for s in "ab":
+        keys = [F.col(c).alias(f"{s}_{c}") for c in _CLASS]
+        pairs = pairs.join(classes.select(*keys, place.alias(s)), [f"{s}_{c}" for c in _CLASS])
+    return pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+
+
+def _judged(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs with ``ok``: whether the lines' whole word sets are similar enough. Written."""
+    spark = pairs.sparkSession
+    key = lambda s: F.struct(*[f"{s}.{c}" for c in _CLASS])
+    places = pairs.select(F.explode(F.array("x", "y")).alias("p")).distinct()
+    wanted = written(places.groupBy("p.doc", "p.text_hash").agg(F.collect_list(F.struct(F.col("p.at").alias("at"), key("p").alias("key"))).alias("lines")))
+    with runtime_filters(spark):
+        # The filter that is always true lets Spark build its Bloom filter of these ids.
+        some = rows.where("text is not null").join(
+            wanted.where("size(lines) > 0").hint("shuffle_hash"), (F.col("id") == F.col("doc")) & (F.xxhash64("text") == F.col("text_hash"))
+        )
+        lines = some.select("lines", F.explode(F.array(F.split("text", "\n"))).alias("all")).select("all", F.explode("lines").alias("l"))
+        one = lines.select("l.key", F.get("all", F.col("l.at")).alias("line")).dropDuplicates(["key"])
+        found = written(one.select("key", F.array_distinct(_words("line")).alias("words")))
+    joined = pairs.select("x", "y", key("x").alias("xk"), key("y").alias("yk"))
+    for s in "xy":
+        joined = joined.join(found.select(F.col("key").alias(f"{s}k"), F.col("words").alias(f"{s}w")), f"{s}k")
+    both = F.size(F.array_intersect("xw", "yw"))
+    out = written(joined.select("x", "y", (100 * both >= percent * (F.size("xw") + F.size("yw") - both)).alias("ok")))
+    drop(wanted, found)
+    return out
+
+
+def later_matches(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Classes (cls, sketch, n) whose first place has an earlier place with a similar set. Written."""
+    prefixes = written(_prefix_rows(classes))
+    hot = written(prefixes.groupBy("token").count().where(F.col("count") > HOT).select("token", F.ceil(F.col("count") / HOT).alias("blocks")))
+    any_hot = not hot.isEmpty()
+    mild = prefixes.join(hot, "token", "left_anti") if any_hot else prefixes
+    a, b = _side(mild, "a"), _side(mild, "b")
+    candidates = written(_pairs(a.join(b, "token").where((F.col("a_cls") < F.col("b_cls")) & _passes(percent))))
+    if any_hot:
+        stars = prefixes.join(hot, "token").join(classes.select(*_CLASS, "doc", "at"), list(_CLASS))
+        centre = stars.groupBy("token").agg(F.min(F.struct("doc", "at", *_CLASS, "pos")).alias("c"))
+        centre = centre.select("token", *[F.col(f"c.{c}").alias(f"a_{c}") for c in (*_CLASS, "pos")])
+        met = _pairs(_side(stars, "b").join(centre, "token").where((F.col("a_cls") != F.col("b_cls")) & _passes(percent)))
+        before, candidates = candidates, written(candidates.unionByName(met))
+        drop(before)
+    pairs = written(_placed(candidates, classes))
+    # A class tries its earliest candidate; those that it fails, all others.
+    tried = _judged(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), rows, percent)
+    gone = written(tried.where("ok").select(*[f"y.{c}" for c in _CLASS]))
+    rest = written(pairs.join(tried.where("not ok").select("y").distinct(), "y", "left_semi").join(tried.select("x", "y"), ["x", "y"], "left_anti"))
+    drop(candidates, pairs, tried)
+    gone = _with_more(gone, rest, rows, percent)
+    if any_hot:
+        left = prefixes.join(hot, "token").join(gone, list(_CLASS), "left_anti")
+        asks = _side(left.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), "b")
+        held = _side(prefixes.join(hot, "token").withColumn("block", F.pmod(F.xxhash64(*_CLASS), "blocks")), "a")
+        met = asks.join(held, ["token", "block"]).where((F.col("a_cls") != F.col("b_cls")) & _passes(percent))
+        late = written(_placed(_pairs(met), classes).distinct().join(gone.select(F.struct(*_CLASS).alias("k")), F.struct(*[f"y.{c}" for c in _CLASS]) == F.col("k"), "left_anti"))
+        gone = _with_more(gone, late, rows, percent)
+    drop(prefixes, hot)
+    return gone
+
+
+def _with_more(gone: DataFrame, pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """``gone`` with the later classes of ``pairs`` that match. Replaces both written tables."""
+    if pairs.isEmpty():
+        drop(pairs)
+        return gone
+    judged = _judged(pairs, rows, percent)
+    out = written(gone.unionByName(judged.where("ok").select(*[f"y.{c}" for c in _CLASS])).distinct())
+    drop(gone, pairs, judged)
+    return out
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with lines removed from the text, and n_lines, n_removed_lines.
 
     Lines are split at line feeds; words are runs of other characters than blanks, lower-cased.
-    A line goes if an earlier line (smaller id, or same id and earlier line; removed ones
-    included) has a Jaccard similarity of ``percent`` or more. Lines of fewer than ``least_words`` distinct words
-    stay. A null text stays null with 0 lines; an empty one has one empty line. Lines of rows with a
+    A line with a word goes if an earlier line (smaller id, or same id and earlier line; removed ones
+    included) has a Jaccard similarity of ``percent`` or more; lines of one to a few words match
+    equal sets alone, as any other set is less similar. Lines without a word stay. A null text
+    stays null with 0 lines; an empty one has one empty line. Lines of rows with a
     null id are left alone. Rows repeated with id and text count as one place and keep the same lines; rows that
-    share an id but not the text are told apart by a hash of the text. Other columns are passed on.
+    share an id but not the text are told apart by a hash of the text, and at equal places the
+    order is that of the class's hash. Other columns are passed on; input columns named n_lines
+    or n_removed_lines are replaced. Classes are told apart by 128 bits of hashes and the size;
+    similar classes are compared word by word.
     """
-    slim = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    ranks = _ranks(_lines(slim))
-    classes = line_classes(slim, ranks, percent, least_words)
-    gone = later_matches(classes, slim, ranks, percent, least_words)
-    kept = (
-        classes.join(gone, ["cls", "sketch", "n"], "left_anti")
-        .groupBy(F.col("doc").alias("__id"), F.col("text_hash").alias("__hash"))
-        .agg(F.collect_list("at").alias("__kept"))
-    )
-    kept = written(kept)
-    rows = docs.withColumn("__hash", F.xxhash64(text_col))
-    joined = rows.withColumn("__id", F.col(id_col)).join(kept, ["__id", "__hash"], "left")
-    lines = F.split(text_col, "\n")
-    stays = F.filter(
-        lines,
-        lambda x, i: F.array_contains(F.coalesce("__kept", F.array().cast("array<int>")), i)
-        | F.col(id_col).isNull()
-        | (F.size(F.array_distinct(_words(x))) < least_words),
+    rows = packed(docs, id_col, text_col)
+    slim = rows.select("id", "text")
+    ranks = _ranks(slim)
+    classes = line_classes(slim, ranks, percent)
+    gone = later_matches(classes, slim, percent)
+    kept = written(
+        classes.join(gone, list(_CLASS), "left_anti").groupBy("doc", "text_hash").agg(F.collect_list("at").alias("kept"))
     )
-    out = joined.withColumn("__lines", stays)
-    out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
-    out = out.withColumn(
-        "n_removed_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("__lines")).cast("long")
-    )
-    out = out.withColumn(text_col, F.array_join("__lines", "\n"))
-    return out.select(*docs.columns, "n_lines", "n_removed_lines")
+    drop(classes, gone)
+    joined = rows.join(kept, (F.col("id") == F.col("doc")) & (F.xxhash64("text") == F.col("text_hash")), "left")
+
+    def parted(lines: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+        blank = F.filter(every, lambda i: ~F.rlike(F.get(lines, i), F.lit(f"[^{BLANKS}]")))
+        stay = F.when(F.col("id").isNull(), every).otherwise(F.array_intersect(every, F.array_union(blank, F.coalesce("kept", F.array().cast("array<int>")))))
+        return let(stay, lambda s: F.struct(F.array_join(F.transform(s, lambda i: F.get(lines, i)), "\n").alias("text"), F.size(lines).alias("n"), F.size(s).alias("kept")))
+
+    cut = F.when(F.col("text").isNotNull(), let(F.split("text", "\n"), parted))
+    out = joined.select("id", "rest", F.explode(F.array(cut)).alias("cut")).select("id", "cut.text", "rest", "cut.n", "cut.kept")
+    n, left = F.coalesce("n", F.lit(0)).cast("long"), F.coalesce("kept", F.lit(0)).cast("long")
+    return unpacked(out, docs.columns, id_col, text_col, n_lines=n, n_removed_lines=n - left)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs, percent=NEAR_PERCENT, least_words=ANY_WORDS)
+    out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )

@@ -7,9 +7,9 @@ equal parts; the sets themselves verify.
 
 Skew. Equal sets are one class and meet as one. Within a part's group, members first try one
 centre each, in a few turns; only where several components are left do the group's members meet
-each other in memory, by sketch and then by whole set, and only links that join components are
-handed on. So no component is missed, and a group of near copies gives a number of rows in
-proportion to its members.
+each other, in pairs of blocks of BLOCK members, by sketch and then by whole set, and only links that join
+components are handed on. So no component is missed, and a group of near copies gives a number of rows in
+proportion to its members. The operator yields components, not each document's number of links.
 """
 
 from __future__ import annotations
@@ -21,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buckets_for, read, runtime_filters, written
+from .common import buckets_for, drop, packed, read, runtime_filters, unpacked, written
 from .components import components
 from .textops import mixed, shingle_hashes, word_hashes
 
 SHINGLE_WORDS = 3
 PERCENT = 90
 
+#: Members of a part's open group are dealt into blocks of so many, and blocks meet in pairs.
+BLOCK = 512
+
 _PART_BITS = 64
 _TURNS = 3
 
@@ -107,11 +110,12 @@ def _facts(size: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([x[0] for x in ids], pa.int64()),
                         pa.array([x[1] for x in ids], pa.int64()),
                     ],
-                    names=["id", "n", "c1", "c2"],
+                    names=["id", "hash", "n", "c1", "c2"],
                 )
 
     return facts
@@ -242,18 +246,18 @@ def _within(n: np.ndarray, bits: np.ndarray, i: int, j: np.ndarray, percent: int
 
 
 def _near_others(percent: int):
-    """Rows of one key together (key, node, n, label, sketch): those with a near sketch of another label."""
+    """Rows of one group together (group, key, node, n, label, sketch): those with a near sketch of another label."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .mail import by_bucket
 
-        for key, rows in by_bucket(batches, columns=(1, 2, 3, 4)):
+        for _, rows in by_bucket(batches, columns=(1, 2, 3, 4, 5)):
             by: dict[int, list] = {}
             for r in rows:
-                by.setdefault(len(r[3]), []).append(r)
-            for same in by.values():
-                node, n, label = (np.array([r[k] for r in same], np.int64) for k in range(3))
-                bits = np.frombuffer(b"".join(r[3] for r in same), np.uint64).reshape(len(same), -1)
+                by.setdefault((r[0], len(r[4])), []).append(r)
+            for (key, _), same in by.items():
+                node, n, label = (np.array([r[k] for r in same], np.int64) for k in (1, 2, 3))
+                bits = np.frombuffer(b"".join(r[4] for r in same), np.uint64).reshape(len(same), -1)
                 near = np.zeros(len(same), bool)
                 for i in range(len(same) - 1):
                     j = _within(n, bits, i, np.flatnonzero(label[i + 1 :] != label[i]) + i + 1, percent)
@@ -279,7 +283,7 @@ def _set_rows(size: int):
 
 
 def _joining_links(percent: int):
-    """Rows of one key together (key, node, label, shingles): verified links that join labels, no more than it takes."""
+    """Rows of one group together (group, node, label, shingles): verified links that join labels, no more than it takes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .mail import by_bucket
@@ -306,84 +310,109 @@ def _joining_links(percent: int):
     return work
 
 
-def similarity_classes(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT
-) -> DataFrame:
-    """(id, n_shingles, component_id), one row per input row; integer ids.
-
-    A set holds the distinct shingles of ``size`` words (A-Z lower-cased); fewer words make one
-    shingle; a text without words, or a null text, has an empty set and is linked with nothing. Two sets are linked if
-    100 |both| >= percent |either|. component_id is the smallest id that links reach. Rows
-    with a null id get a null component_id; rows that repeat an id with the same text get the
-    same one. Other columns are not read.
-    """
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    facts = written(slim.mapInArrow(_facts(size), "id long, n long, c1 long, c2 long"))
-    classes = written(
-        facts.where("n > 0 and id is not null").groupBy("c1", "c2", "n").agg(F.min("id").alias("node"))
-    )
+def _met_in_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of a key as groups of at most two blocks, sorted by group: a small key is one group, of a larger one every two blocks meet."""
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    dealt = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    meeting = dealt.select("*", other).where((F.col("blocks") <= 2) | (F.col("block") != F.col("other")))
+    # one or two blocks are one group
+    group = F.when(F.col("blocks") <= 2, F.xxhash64("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+    met = meeting.where((F.col("blocks") > 2) | (F.col("other") == 0)).select(group.alias("group"), *columns)
+    return met.repartition("group").sortWithinPartitions("group", "node")
+
+
+def _classes(slim: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Written: (id, hash, n, c1, c2) of each row, and (c1, c2, n, rep) of each class, rep being the (id, hash) that its component begins with."""
+    spark = slim.sparkSession
+    facts = written(slim.mapInArrow(_facts(size), "id long, hash long, n long, c1 long, c2 long"))
+    first = facts.where("n > 0 and id is not null").groupBy("c1", "c2", "n").agg(F.min(F.struct("id", "hash")).alias("first"))
+    classes = written(first.withColumn("node", F.monotonically_increasing_id()))
     buckets = buckets_for(slim, 4 << 20)
     mail = slim.select("text").mapInArrow(_key_mail(size, percent, buckets), "bucket int, payload binary")
     shared = mail.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
         _shared_keys, "key long, c1 long, c2 long, n long"
     )
-    met = written(shared.join(classes, ["c1", "c2", "n"]).select("key", "node", "n"))
-    nodes = written(met.select("node", F.lit(1).alias("mark")).distinct())
-    with runtime_filters(slim.sparkSession):
+    found = written(shared)
+    met = written(found.join(classes, ["c1", "c2", "n"]).select("key", "node", "n"))
+    drop(found)
+    nodes = written(met.select("node").distinct().join(classes.select("node", "first"), "node").select("node", "first", F.lit(1).alias("mark")))
+    with runtime_filters(spark):
         # the filter that is always true lets Spark build its Bloom filter of these ids
-        texts = slim.join(nodes.where("mark = 1").hint("shuffle_hash"), F.col("id") == F.col("node"), "left_semi")
-        texts = written(texts.dropDuplicates(["id"]).select(F.col("id").alias("node"), "text"))
+        some = slim.join(nodes.where("mark = 1").hint("shuffle_hash"), (F.col("id") == F.col("first.id")) & (F.col("hash") == F.col("first.hash")))
+        texts = written(some.select("node", "text").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-        return written(rows.mapInArrow(_linked(size, percent), "a long, b long"))
+        out = written(rows.mapInArrow(_linked(size, percent), "a long, b long"))
+        drop(pairs)
+        return out
 
-    labels = met.select("node", F.col("node").alias("label")).distinct()
+    labels = None
     links = None
     for turn in range(_TURNS):
-        new = verified(written(_star(met.join(labels, "node"), turn, percent)))
-        links = new if links is None else written(links.unionByName(new))
+        own = met.withColumn("label", F.col("node")) if labels is None else met.join(labels, "node")
+        new = verified(written(_star(own, turn, percent)))
+        before = links, new, labels
+        links = written(new if links is None else links.unionByName(new))
         reached = components(links)
         labels = written(
             nodes.select("node").join(reached.withColumnRenamed("label", "l"), "node", "left").select("node", F.coalesce("l", "node").alias("label"))
         )
+        drop(*before, reached)
     # Where a key's members are still in several components, all of them meet: by sketch, then, those
     # that a sketch of another component comes near, by their whole sets.
     labelled = met.join(labels, "node")
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     rest = written(labelled.join(open_keys, "key", "left_semi"))
-    made = texts.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(
-        _sketches(size, percent), "node long, band long, n long, sketch binary"
+    drop(met)
+    made = written(
+        texts.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_sketches(size, percent), "node long, band long, n long, sketch binary")
     )
+    rows = rest.select("key", "node", "label").join(made.select("node", "n", "sketch"), "node")
     near = written(
-        rest.select("key", "node", "label")
-        .join(made.select("node", "n", "sketch"), "node")
-        .select("key", "node", "n", "label", "sketch")
-        .repartition("key")
-        .sortWithinPartitions("key", "node")
-        .mapInArrow(_near_others(percent), "key long, node long, label long")
-        .distinct()
+        _met_in_blocks(rows, ["key", "node", "n", "label", "sketch"]).mapInArrow(_near_others(percent), "key long, node long, label long").distinct()
     )
+    drop(rest, made)
     sets = texts.join(near.select("node").distinct(), "node", "left_semi").mapInArrow(_set_rows(size), "node long, shingles binary")
-    more = written(
-        near.join(sets, "node")
-        .select("key", "node", "label", "shingles")
-        .repartition("key")
-        .sortWithinPartitions("key", "node")
-        .mapInArrow(_joining_links(percent), "a long, b long")
-        .distinct()
-    )
+    rows = near.join(sets, "node").select("key", "node", "label", "shingles")
+    more = written(_met_in_blocks(rows, ["node", "label", "shingles"]).mapInArrow(_joining_links(percent), "a long, b long").distinct())
+    drop(near, texts)
     reached = components(links.unionByName(more))
-    named = classes.join(reached, "node", "left").select(
-        "c1", "c2", "n", F.coalesce("label", "node").alias("component_id")
-    )
+    with_label = written(classes.join(reached, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    rep = with_label.groupBy("label").agg(F.min("first").alias("rep"))
+    named = written(with_label.join(rep, "label").select("c1", "c2", "n", "rep"))
+    drop(classes, links, more, nodes, labels, reached, with_label)
+    return facts, named
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, hash, rest)."""
+    rows = packed(docs, id_col, text_col)
+    return rows.select(F.col("id").cast("long").alias("id"), "text", F.xxhash64("text").alias("hash"), "rest")
+
+
+def similarity_classes(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """(id, n_shingles, component_id), one row per input row; integer ids.
+
+    A set holds the distinct shingles of ``size`` words (A-Z lower-cased); fewer words make one
+    shingle; a text without words, or a null text, has an empty set and is linked with nothing. Two sets are linked if
+    100 |both| >= percent |either|. component_id is the smallest id that links reach. Rows
+    with a null id get a null component_id and link nothing. Rows that share an id but not the text are
+    texts of their own, each with its links, and a component reached by one does not pull in the
+    other; rows that repeat both get the same result. Sets are told apart by 128 bits of hashes
+    and the size, shingles by 64 bits. Other columns are not read.
+    """
+    facts, named = _classes(_keyed(docs, id_col, text_col).select("id", "text", "hash"), size, percent)
     out = facts.join(named, ["c1", "c2", "n"], "left")
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"),
+        F.when(F.col("id").isNotNull(), F.coalesce("rep.id", "id")).alias("component_id"),
     )
 
 
@@ -402,12 +431,17 @@ def _star(met: DataFrame, turn: int, percent: int) -> DataFrame:
     return pairs.withColumn("nth", best).where("nth = 1").select("a", "b")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` whose id is the smallest of its component; rows with a null id stay."""
-    id_col = options.get("id_col", "doc_id")
-    found = similarity_classes(docs, **options)
-    gone = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def one_of_each(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """Rows of ``docs`` that their component begins with (smallest id, then hash of the text); rows with a null id or no words stay."""
+    rows = _keyed(docs, id_col, text_col)
+    facts, named = _classes(rows.select("id", "text", "hash"), size, percent)
+    of = F.struct(F.col("id").alias("id"), F.col("hash").alias("hash"))
+    gone = written(facts.join(named, ["c1", "c2", "n"]).where((F.col("rep") != of) & F.col("id").isNotNull()).select("id", "hash").distinct())
+    drop(facts, named)
+    kind = docs.schema[id_col].dataType
+    return unpacked(rows.join(gone, ["id", "hash"], "left_anti").withColumn("id", F.col("id").cast(kind)), docs.columns, id_col, text_col)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

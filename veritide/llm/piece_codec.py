@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import read
 
@@ -254,7 +255,7 @@ def encode_texts(docs: DataFrame, model_path: str, *, keep: list[str], text_col:
     """``keep`` columns with ``ids`` (array of ints, with begin and end) and ``decoded``.
 
     A null text counts as empty: begin and end only, decoded empty. Row by row, so repeated
-    rows, ties and empty tables need no rule.
+    rows, ties and empty tables need no rule. Columns of ``keep`` with a result's name are replaced.
     """
     return _mapped(docs, model_path, keep, text_col, "ids array<int>, decoded string", _full)
 
@@ -281,8 +282,10 @@ def _digests(found: list[tuple[bytes, str]]) -> list[pa.Array]:
 
 
 def _mapped(docs: DataFrame, model_path: str, keep: list[str], text_col: str, columns: str, made) -> DataFrame:
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    names = [*keep, *(c.strip().split(" ")[0] for c in columns.split(", "))]
+    made_names = [c.split(" ")[0] for c in columns.split(", ")]
+    keep = [c for c in keep if c not in made_names]
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text"))
+    names = [*keep, *made_names]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(model_path)
@@ -292,8 +295,8 @@ def _mapped(docs: DataFrame, model_path: str, keep: list[str], text_col: str, co
                 found = model.encode_many(part.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made(found)], names=names)
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    return rows.mapInArrow(work, f"{kept}, {columns}")
+    made_fields = StructType.fromDDL(columns).fields
+    return rows.mapInArrow(work, StructType([*rows.schema.fields[: len(keep)], *made_fields]))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
