@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritide.llm import decontaminate, language_id, line_dedup, parity_join, piece_codec
-from veritide.llm.common import BLANKS, read, ship, written
+from veritide.llm.common import BLANKS, drop, packed, read, ship, unpacked, written
 
-#: A text whose nearest language profile is farther than this share of the largest distance has no language.
-LEAST_SCORE = 0.15
+#: A text whose nearest profile is farther than this share of the largest distance has no learned language.
+LEAST_SCORE = language_id.LEAST_SCORE
 
 #: Near copies share so many per cent of their shingles of so many words (op7's own contract is narrower).
 COPY_WORDS = 5
@@ -24,39 +24,40 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or far from every language's profile, go."""
     ship(spark)
     profiles = language_id.learn_profiles(docs)
-    judged = language_id.identify(docs, profiles, keep=docs.columns)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    judged = language_id.identify(packed(docs, "doc_id", "text"), profiles, keep=["id", "text", "rest"])
+    return unpacked(judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs.columns, "doc_id", "text")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that match an earlier one go; so do documents that lose lines and keep none with a word."""
     ship(spark)
-    out = line_dedup.dedup_lines(docs, percent=line_dedup.NEAR_PERCENT, least_words=line_dedup.ANY_WORDS)
-    own = F.col("text").rlike(f"[^{BLANKS}]")
-    out = out.where((F.col("n_removed_lines") == 0) | own)
+    rows = packed(docs, "doc_id", "text")
+    out = line_dedup.dedup_lines(rows, id_col="id").where((F.col("n_removed_lines") == 0) | F.col("text").rlike(f"[^{BLANKS}]"))
+    own = {}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        own["n_chars"] = F.when(F.col("n_removed_lines") == 0, F.col("rest.n_chars")).otherwise(F.length("text")).cast(kind)
+    return unpacked(out, docs.columns, "doc_id", "text", **own).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents, the one with the smallest id stays."""
     ship(spark)
-    return parity_join.one_of_each(docs, size=COPY_WORDS, percent=COPY_PERCENT).select(*docs.columns)
+    return parity_join.one_of_each(docs, size=COPY_WORDS, percent=COPY_PERCENT)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     ship(spark)
-    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and the text that they decode to."""
+    """Token ids, their number, and the text that they decode to; input columns ``ids`` or ``n_tokens`` are replaced."""
     ship(spark)
-    keep = [c for c in docs.columns if c not in ("text", "ids", "decoded")]
-    coded = piece_codec.encode_texts(docs, piece_codec.default_model(), keep=keep)
-    return coded.withColumnRenamed("decoded", "text").withColumn("n_tokens", F.size("ids").cast("long"))
+    rows = packed(docs, "doc_id", "text")
+    coded = piece_codec.encode_texts(rows, piece_codec.default_model(), keep=["id", "rest"]).withColumnRenamed("decoded", "text")
+    return unpacked(coded, docs.columns, "doc_id", "text", ids=F.col("ids"), n_tokens=F.size("ids").cast("long"))
 
 
 STAGES = [
@@ -74,7 +75,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs)
+            drop(before)
     return docs
