@@ -50,7 +50,7 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 def _ranks(rows: DataFrame) -> Column:
     """Place of each hash bucket by its number of words over all lines, rarest first (a fixed-size array)."""
-    words = rows.where("text is not null and id is not null").select(F.explode(_words(F.translate("text", "\n", " "))).alias("word"))
+    words = _lines(rows).select(F.explode(_words("line")).alias("word"))
     counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit((1 << RANK_BITS) - 1)).alias("bucket")).count()
     order = rows_of(counts.agg(F.sort_array(F.collect_list(F.struct("count", "bucket")))["bucket"].alias("order")))[0][0]
     ranks = [0] * (1 << RANK_BITS)
@@ -73,15 +73,19 @@ def line_classes(rows: DataFrame, ranks: Column, percent: int) -> DataFrame:
     sets = sets.select("doc", "text_hash", "at", F.explode(F.array(F.sort_array(F.transform("hashes", number)))).alias("tokens"))
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, n - F.floor((percent * n + 99) / 100).cast("int") + 1)
+    # 128 parity bits; their fold, 64 bits, goes with every prefix word
+    wide = [F.expr(f"aggregate(tokens, 0L, (a, x) -> if((x & 64) = {k << 6}, a ^ shiftleft(1L, cast(x & 63 as int)), a))") for k in range(2)]
+    sets = sets.select("*", F.explode(F.array(F.array(*wide))).alias("wide"))
     facts = sets.select(
         "doc", "text_hash", "at",
         F.xxhash64("tokens").alias("cls"),
-        F.expr("aggregate(tokens, 0L, (a, x) -> a ^ shiftleft(1L, cast(x & 63 as int)))").alias("sketch"),
+        F.get("wide", F.lit(0)).bitwiseXOR(F.get("wide", F.lit(1))).alias("sketch"),
         n.alias("n"),
         # A set that not even one more word leaves similar has no match but equal sets.
         F.when(100 * n >= percent * (n + 1), prefix).otherwise(F.slice("tokens", 1, 0)).alias("prefix"),
+        "wide",
     )
-    return written(facts.groupBy(*_CLASS).agg(F.min(F.struct("doc", "at", "text_hash", "prefix")).alias("first")).select(*_CLASS, "first.*"))
+    return written(facts.groupBy(*_CLASS).agg(F.min(F.struct("doc", "at", "text_hash", "prefix", "wide")).alias("first")).select(*_CLASS, "first.*"))
 
 
 def _prefix_rows(classes: DataFrame) -> DataFrame:
@@ -106,13 +110,16 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(*[f"{s}_{c}" for s in "ab" for c in _CLASS]).distinct()
 
 
-def _placed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs as (x, y), structs with the place and key of the earlier and the later class."""
+def _placed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that a sketch of 128 bits lets pass as (x, y), structs with the place and key of the earlier and the later class."""
     place = F.struct("doc", "at", *_CLASS, "text_hash")
     for s in "ab":
         keys = [F.col(c).alias(f"{s}_{c}") for c in _CLASS]
-        pairs = pairs.join(classes.select(*keys, place.alias(s)), [f"{s}_{c}" for c in _CLASS])
-    return pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        pairs = pairs.join(classes.select(*keys, place.alias(s), F.col("wide").alias(f"{s}_wide")), [f"{s}_{c}" for c in _CLASS])
+    an, bn = F.col("a_n").cast("long"), F.col("b_n").cast("long")
+    apart = sum((F.bit_count(F.get("a_wide", F.lit(k)).bitwiseXOR(F.get("b_wide", F.lit(k)))) for k in range(2)), F.lit(0))
+    near = pairs.where(apart <= an + bn - 2 * F.floor((percent * (an + bn) + 99 + percent) / (100 + percent)).cast("long"))
+    return near.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
 
 
 def _judged(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -153,7 +160,7 @@ def later_matches(classes: DataFrame, rows: DataFrame, percent: int) -> DataFram
         met = _pairs(_side(stars, "b").join(centre, "token").where((F.col("a_cls") != F.col("b_cls")) & _passes(percent)))
         before, candidates = candidates, written(candidates.unionByName(met))
         drop(before)
-    pairs = written(_placed(candidates, classes))
+    pairs = written(_placed(candidates, classes, percent))
     # A class tries its earliest candidate; those that it fails, all others.
     tried = _judged(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), rows, percent)
     gone = written(tried.where("ok").select(*[f"y.{c}" for c in _CLASS]))
@@ -165,7 +172,7 @@ def later_matches(classes: DataFrame, rows: DataFrame, percent: int) -> DataFram
         asks = _side(left.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), "b")
         held = _side(prefixes.join(hot, "token").withColumn("block", F.pmod(F.xxhash64(*_CLASS), "blocks")), "a")
         met = asks.join(held, ["token", "block"]).where((F.col("a_cls") != F.col("b_cls")) & _passes(percent))
-        late = written(_placed(_pairs(met), classes).distinct().join(gone.select(F.struct(*_CLASS).alias("k")), F.struct(*[f"y.{c}" for c in _CLASS]) == F.col("k"), "left_anti"))
+        late = written(_placed(_pairs(met), classes, percent).distinct().join(gone.select(F.struct(*_CLASS).alias("k")), F.struct(*[f"y.{c}" for c in _CLASS]) == F.col("k"), "left_anti"))
         gone = _with_more(gone, late, rows, percent)
     drop(prefixes, hot)
     return gone
