@@ -2,7 +2,7 @@
 
 A line is a set of words, ordered by rarity. Two lines of Jaccard similarity ``percent`` or
 more share a word in their prefixes (the first n - ceil(t n) + 1 words), so lines meet on prefix
-words only. Length, position and a 64-bit parity sketch (whose Hamming distance never exceeds the
+words only. Length, position and a 128-bit parity sketch (whose Hamming distance never exceeds the
 symmetric difference) sift the pairs; Jaccard on the whole word sets decides. A line with an
 earlier match goes. Lines of the same set are one class, whose first place alone can stay; sets
 too small to be similar to any other set need no prefix.
@@ -25,12 +25,13 @@ from .common import BLANKS, drop, int_array, let, packed, read, rows_of, runtime
 PERCENT = 80
 
 #: Words are ordered by the count of their hash bucket; so many buckets bound that table.
-RANK_BITS = 17
+RANK_BITS = 16
 
 #: A word in the prefixes of more classes than this is met in two steps, and in blocks of so many classes.
-HOT = 256
+HOT = 1000
 
-_CLASS = ("cls", "sketch", "n")
+#: A class: a hash of its tokens, 128 parity bits, and its size.
+_CLASS = ("cls", "w0", "w1", "n")
 
 
 def _words(line: Column | str) -> Column:
@@ -73,23 +74,20 @@ def line_classes(rows: DataFrame, ranks: Column, percent: int) -> DataFrame:
     sets = sets.select("doc", "text_hash", "at", F.explode(F.array(F.sort_array(F.transform("hashes", number)))).alias("tokens"))
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, n - F.floor((percent * n + 99) / 100).cast("int") + 1)
-    # 128 parity bits; their fold, 64 bits, goes with every prefix word
-    wide = [F.expr(f"aggregate(tokens, 0L, (a, x) -> if((x & 64) = {k << 6}, a ^ shiftleft(1L, cast(x & 63 as int)), a))") for k in range(2)]
-    sets = sets.select("*", F.explode(F.array(F.array(*wide))).alias("wide"))
+    parity = [F.expr(f"aggregate(tokens, 0L, (a, x) -> if((x & 64) = {k << 6}, a ^ shiftleft(1L, cast(x & 63 as int)), a))").alias(f"w{k}") for k in range(2)]
     facts = sets.select(
         "doc", "text_hash", "at",
         F.xxhash64("tokens").alias("cls"),
-        F.get("wide", F.lit(0)).bitwiseXOR(F.get("wide", F.lit(1))).alias("sketch"),
+        *parity,
         n.alias("n"),
         # A set that not even one more word leaves similar has no match but equal sets.
         F.when(100 * n >= percent * (n + 1), prefix).otherwise(F.slice("tokens", 1, 0)).alias("prefix"),
-        "wide",
     )
-    return written(facts.groupBy(*_CLASS).agg(F.min(F.struct("doc", "at", "text_hash", "prefix", "wide")).alias("first")).select(*_CLASS, "first.*"))
+    return written(facts.groupBy(*_CLASS).agg(F.min(F.struct("doc", "at", "text_hash", "prefix")).alias("first")).select(*_CLASS, "first.*"))
 
 
 def _prefix_rows(classes: DataFrame) -> DataFrame:
-    """(token, cls, sketch, n, pos): a row for each prefix word of each class."""
+    """(token, cls, w0, w1, n, pos): a row for each prefix word of each class."""
     return classes.select(*_CLASS, F.posexplode("prefix").alias("pos", "token"))
 
 
@@ -102,7 +100,7 @@ def _passes(percent: int) -> Column:
     an, bn = F.col("a_n").cast("long"), F.col("b_n").cast("long")
     least = F.floor((percent * (an + bn) + 99 + percent) / (100 + percent)).cast("long")
     most = F.least("a_pos", "b_pos") + 1 + F.least(an - F.col("a_pos") - 1, bn - F.col("b_pos") - 1)
-    apart = F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch")))
+    apart = F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))) + F.bit_count(F.col("a_w1").bitwiseXOR(F.col("b_w1")))
     return (100 * F.least(an, bn) >= percent * F.greatest(an, bn)) & (most >= least) & (apart <= an + bn - 2 * least)
 
 
@@ -110,16 +108,13 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(*[f"{s}_{c}" for s in "ab" for c in _CLASS]).distinct()
 
 
-def _placed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that a sketch of 128 bits lets pass as (x, y), structs with the place and key of the earlier and the later class."""
+def _placed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs as (x, y), structs with the place and key of the earlier and the later class."""
     place = F.struct("doc", "at", *_CLASS, "text_hash")
     for s in "ab":
         keys = [F.col(c).alias(f"{s}_{c}") for c in _CLASS]
-        pairs = pairs.join(classes.select(*keys, place.alias(s), F.col("wide").alias(f"{s}_wide")), [f"{s}_{c}" for c in _CLASS])
-    an, bn = F.col("a_n").cast("long"), F.col("b_n").cast("long")
-    apart = sum((F.bit_count(F.get("a_wide", F.lit(k)).bitwiseXOR(F.get("b_wide", F.lit(k)))) for k in range(2)), F.lit(0))
-    near = pairs.where(apart <= an + bn - 2 * F.floor((percent * (an + bn) + 99 + percent) / (100 + percent)).cast("long"))
-    return near.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        pairs = pairs.join(classes.select(*keys, place.alias(s)), [f"{s}_{c}" for c in _CLASS])
+    return pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
 
 
 def _judged(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -146,7 +141,7 @@ def _judged(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
 
 def later_matches(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Classes (cls, sketch, n) whose first place has an earlier place with a similar set. Written."""
+    """Classes (cls, w0, w1, n) whose first place has an earlier place with a similar set. Written."""
     prefixes = written(_prefix_rows(classes))
     hot = written(prefixes.groupBy("token").count().where(F.col("count") > HOT).select("token", F.ceil(F.col("count") / HOT).alias("blocks")))
     any_hot = not hot.isEmpty()
@@ -160,22 +155,22 @@ def later_matches(classes: DataFrame, rows: DataFrame, percent: int) -> DataFram
         met = _pairs(_side(stars, "b").join(centre, "token").where((F.col("a_cls") != F.col("b_cls")) & _passes(percent)))
         before, candidates = candidates, written(candidates.unionByName(met))
         drop(before)
-    pairs = written(_placed(candidates, classes, percent))
+    pairs = written(_placed(candidates, classes))
     # A class tries its earliest candidate; those that it fails, all others.
     tried = _judged(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), rows, percent)
     gone = written(tried.where("ok").select(*[f"y.{c}" for c in _CLASS]))
     rest = written(pairs.join(tried.where("not ok").select("y").distinct(), "y", "left_semi").join(tried.select("x", "y"), ["x", "y"], "left_anti"))
     drop(candidates, pairs, tried)
-    gone = _with_more(gone, rest, rows, percent)
     if any_hot:
         left = prefixes.join(hot, "token").join(gone, list(_CLASS), "left_anti")
         asks = _side(left.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), "b")
         held = _side(prefixes.join(hot, "token").withColumn("block", F.pmod(F.xxhash64(*_CLASS), "blocks")), "a")
         met = asks.join(held, ["token", "block"]).where((F.col("a_cls") != F.col("b_cls")) & _passes(percent))
-        late = written(_placed(_pairs(met), classes, percent).distinct().join(gone.select(F.struct(*_CLASS).alias("k")), F.struct(*[f"y.{c}" for c in _CLASS]) == F.col("k"), "left_anti"))
-        gone = _with_more(gone, late, rows, percent)
+        late = _placed(_pairs(met), classes).join(gone.select(F.struct(*_CLASS).alias("k")), F.struct(*[f"y.{c}" for c in _CLASS]) == F.col("k"), "left_anti")
+        before, rest = rest, written(rest.unionByName(late).distinct())
+        drop(before)
     drop(prefixes, hot)
-    return gone
+    return _with_more(gone, rest, rows, percent)
 
 
 def _with_more(gone: DataFrame, pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -200,7 +195,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     null id are left alone. Rows repeated with id and text count as one place and keep the same lines; rows that
     share an id but not the text are told apart by a hash of the text, and at equal places the
     order is that of the class's hash. Other columns are passed on; input columns named n_lines
-    or n_removed_lines are replaced. Classes are told apart by 128 bits of hashes and the size;
+    or n_removed_lines are replaced. Classes are told apart by a 64-bit hash, 128 parity bits and the size;
     similar classes are compared word by word.
     """
     rows = packed(docs, id_col, text_col)
