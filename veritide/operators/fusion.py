@@ -15,11 +15,18 @@ FEATURES = (
 
 
 def reciprocal_rank_fusion(rankings: DataFrame, *, k: int = 60, top: int | None = None) -> DataFrame:
-    """(query_id, source, doc_id, rank) to (query_id, doc_id, score, rank). Of an id that a source repeats, its best rank counts."""
+    """(query_id, source, doc_id, rank) to (query_id, doc_id, score, rank).
+
+    Of an id that a source repeats, its best place counts. A rank of 0 or less is replaced by the row's place in its
+    source, rows without a rank last; so rankings without usable ranks are taken in the order of ``at``, if they have that column.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
+    if "at" in rankings.columns:
+        place = F.row_number().over(Window.partitionBy("query_id", "source").orderBy("at"))
+        rankings = rankings.withColumn("rank", F.when(F.col("rank") > 0, F.col("rank")).otherwise(place))
     once = rankings.groupBy("query_id", "source", "doc_id").agg(F.min("rank").alias("r"))
-    scored = once.groupBy("query_id", "doc_id").agg(F.sum(1 / (k + F.col("r"))).alias("score"))
+    scored = once.groupBy("query_id", "doc_id").agg(F.sum(1 / (k + F.greatest("r", F.lit(1)))).alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
     out = scored.withColumn("rank", place)
     return out if top is None else out.where(F.col("rank") <= top)
@@ -70,7 +77,8 @@ def text_features(query_tokens: Column, doc_tokens: Column) -> dict[str, Column]
 def candidate_features(candidates: DataFrame, claims: DataFrame, docs: DataFrame) -> DataFrame:
     """The eleven features of (query_id, doc_id, bm25_*, dense_*, rrf_* score and rank) rows; an absent score or rank gives 0."""
     q = claims.select("query_id", T.tokens(F.col("text")).alias("q_toks"))
-    d = docs.select("doc_id", T.tokens(F.col("text")).alias("d_toks"))
+    # only candidates' texts are cut into tokens
+    d = docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", T.tokens(F.col("text")).alias("d_toks"))
     rows = candidates.join(q, "query_id").join(d, "doc_id")
     out = []
     for source in ("bm25", "dense", "rrf"):
@@ -96,7 +104,8 @@ def source_class(bm25_rank: Column, dense_rank: Column) -> Column:
 def deterministic_rerank(candidates: DataFrame, claims: DataFrame, docs: DataFrame, *, top: int) -> DataFrame:
     """Order (query_id, doc_id) by 0.65 token, 0.20 number and 0.15 year overlap."""
     q = claims.select("query_id", T.tokens(F.col("text")).alias("q_toks"))
-    d = docs.select("doc_id", T.tokens(F.col("text")).alias("d_toks"))
+    # only candidates' texts are cut into tokens
+    d = docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", T.tokens(F.col("text")).alias("d_toks"))
     f = text_features(F.col("q_toks"), F.col("d_toks"))
     score = 0.65 * f["token_overlap"] + 0.20 * f["number_overlap"] + 0.15 * f["year_overlap"]
     rows = candidates.select("query_id", "doc_id").join(q, "query_id").join(d, "doc_id").select("query_id", "doc_id", score.alias("score"))

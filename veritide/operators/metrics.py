@@ -27,7 +27,6 @@ def retrieval_metrics(claims: DataFrame, ranked: DataFrame, gold: DataFrame, ks:
     found = lambda cond: F.count_distinct(F.when(cond & hit, F.col("doc_id")))
     per = rows.groupBy("query_id").agg(
         F.count("*").alias("n_pred"),
-        F.count_distinct("doc_id").alias("n_distinct"),
         found(F.lit(True)).alias("n_hit"),
         *[found(F.col("rank") <= k).alias(f"hit_{k}") for k in ks],
         F.min(F.when(hit & (F.col("rank") <= 10), F.col("rank"))).alias("first"),
@@ -45,7 +44,7 @@ def retrieval_metrics(claims: DataFrame, ranked: DataFrame, gold: DataFrame, ks:
         *[F.when(F.col(f"hit_{k}") > 0, 1.0).otherwise(0.0).alias(f"hit_{k}") for k in ks],
         zero(1 / F.col("first")).alias("mrr_10"),
         F.when(n_gold > 0, zero(F.col("dcg")) / ideal).otherwise(F.lit(0.0)).alias("ndcg_10"),
-        share("n_hit", "n_distinct").alias("evidence_precision"),
+        share("n_hit", "n_pred").alias("evidence_precision"),
         share("n_hit", "n_gold").alias("evidence_recall"),
     )
     p, r = F.col("evidence_precision"), F.col("evidence_recall")

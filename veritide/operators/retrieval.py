@@ -22,6 +22,12 @@ def top_k(ranked: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return ranked.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal rows anew where a file has fewer splits than there are cores, so that the work after it uses them all."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 @dataclass
 class BM25:
     """postings (term, doc_id, tf), docs (doc_id, dl) and terms (term, df, idf) with the corpus numbers."""
@@ -38,17 +44,20 @@ class BM25:
         """Index ``docs``; a repeated id, no document, k1 <= 0 or b outside [0, 1] is an error."""
         if k1 <= 0 or not 0 <= b <= 1:
             raise ValueError("k1 must be positive and b within [0, 1]")
-        rows = docs.select(F.col(id_col).alias("doc_id"), T.tokens(F.col(text_col)).alias("toks"))
-        n, ids, mean = rows.agg(F.count("*"), F.count_distinct("doc_id"), F.avg(F.size("toks"))).first()
+        from .dedup import stored
+
+        # Texts are cut into tokens once: a document's terms are counted in place and written, and all else reads that.
+        rows = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+        toks = F.array_sort(T.tokens(F.col("text")))
+        cut = rows.select("doc_id", F.explode(F.array(toks)).alias("toks")).select("doc_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+        kept = stored(cut.groupBy("doc_id", "dl", "term").agg(F.count("term").alias("tf")))
+        n, ids, total = kept.groupBy("doc_id", "dl").agg(F.max("tf")).agg(F.count("*"), F.count_distinct("doc_id"), F.sum("dl")).first()
         if not n:
             raise ValueError("no documents")
-        if n != ids:
+        if n != ids or docs.count() != n:
             raise ValueError("repeated document id")
-        postings = (
-            rows.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-            .groupBy("term", "doc_id")
-            .agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-        )
+        mean = total / n
+        postings = kept.where("tf > 0").select("term", "doc_id", "tf", "dl")
         df = F.col("df")
         terms = postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(1 + (n - df + 0.5) / (df + 0.5)))
         return cls(postings, terms, n, mean or 0.0, k1, b)
@@ -64,12 +73,14 @@ class BM25:
         ).distinct()
         # Only postings of asked terms are weighed; df comes from those alone.
         wanted = asked.select("term").distinct()
-        if wanted.count() <= BROADCAST_TERMS:
+        few = wanted.count() <= BROADCAST_TERMS
+        if few:
             wanted = F.broadcast(wanted)
             asked = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
         hit = self.postings.join(wanted, "term", "left_semi")
-        df = F.count("*").over(Window.partitionBy("term"))
-        hit = hit.withColumn("df", df)
+        # Document frequencies are partial sums of the asked terms' postings, one row a term.
+        df = hit.groupBy("term").agg(F.count("*").alias("df"))
+        hit = hit.join(F.broadcast(df) if few else df, "term")
         idf = F.log(1 + (F.lit(self.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         length = 1 - self.b + self.b * F.col("dl") / max(self.mean_length, 1e-12)
         weight = idf * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * length)
@@ -145,12 +156,17 @@ def recall_at_k(exact: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return joined.agg((F.count("hit") / F.count("*")).alias("recall"))
 
 
-def hybrid(routes: dict[str, DataFrame], *, rerank_k: int = 50, final_k: int = 5, rrf_k: int = 60) -> DataFrame:
-    """One route: its best ``rerank_k``; several: reciprocal-rank fusion of them; then the first ``final_k``."""
+def hybrid(
+    routes: dict[str, DataFrame], *, recall_k: int = 100, rerank_k: int = 50, final_k: int = 5, rrf_k: int = 60, reranker=None,
+    claims: DataFrame | None = None, docs: DataFrame | None = None,
+) -> DataFrame:
+    """The first ``recall_k`` of each route; one route: its best ``rerank_k``, several: their reciprocal-rank fusion; then, with a
+    reranker of :mod:`.protocols`, its order of those, else theirs; of which the first ``final_k``."""
     from .fusion import reciprocal_rank_fusion
 
     if not routes:
         raise ValueError("at least one route")
+    routes = {n: df.where(F.col("rank") <= recall_k) for n, df in routes.items()}
     if len(routes) == 1:
         fused = top_k(next(iter(routes.values())), rerank_k)
     else:
@@ -159,6 +175,8 @@ def hybrid(routes: dict[str, DataFrame], *, rerank_k: int = 50, final_k: int = 5
             one = df.select("query_id", "doc_id", "rank").withColumn("source", F.lit(name))
             union = one if union is None else union.unionByName(one)
         fused = reciprocal_rank_fusion(union, k=rrf_k, top=rerank_k)
+    if reranker is not None:
+        return reranker.rerank(fused, claims, docs, final_k)
     return fused.where(F.col("rank") <= final_k)
 
 

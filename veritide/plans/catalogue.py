@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import fusion, metrics
-from ..operators.retrieval import BM25, dense_top_k, hybrid
+from ..operators.retrieval import dense_top_k, hybrid
 from . import inputs as I  # noqa: E741
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,13 +28,13 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import catalogue_more  # noqa: F401
+    from . import catalogue_extra, catalogue_more  # noqa: F401
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalogue_more  # noqa: F401
+    from . import catalogue_extra, catalogue_more  # noqa: F401
 
     return dict(_SQL)
 
@@ -75,7 +75,7 @@ gold AS (SELECT DISTINCT b.item_id AS query_id, doc_id FROM documents JOIN bench
 
 def metrics_sql(ranked: str, final: str) -> str:
     """Retrieval metrics of a CTE ``ranked`` (query_id, doc_id, rank)."""
-    return f"""m1 AS (SELECT r.query_id, count(*) AS n_pred, count(DISTINCT r.doc_id) AS nd, count(DISTINCT g.doc_id) AS nh,
+    return f"""m1 AS (SELECT r.query_id, count(*) AS n_pred, count(DISTINCT g.doc_id) AS nh,
   count(DISTINCT CASE WHEN rank <= 5 THEN g.doc_id END) AS h5, count(DISTINCT CASE WHEN rank <= 10 THEN g.doc_id END) AS h10,
   count(DISTINCT CASE WHEN rank <= 50 THEN g.doc_id END) AS h50, min(CASE WHEN rank <= 10 AND g.doc_id IS NOT NULL THEN rank END) AS fst,
   sum(CASE WHEN rank <= 10 AND g.doc_id IS NOT NULL THEN 1e0 / log2(rank + 1) ELSE 0e0 END) AS dcg
@@ -86,7 +86,7 @@ m3 AS (SELECT q.query_id, coalesce(ng, 0) AS ng, m1.* EXCLUDE (query_id), CASE W
 m4 AS (SELECT query_id, ng, coalesce(h5 / CAST(nullif(ng, 0) AS DOUBLE), 0) AS recall_5, coalesce(h10 / CAST(nullif(ng, 0) AS DOUBLE), 0) AS recall_10,
   coalesce(h50 / CAST(nullif(ng, 0) AS DOUBLE), 0) AS recall_50, CASE WHEN h5 > 0 THEN 1e0 ELSE 0e0 END AS hit_5, CASE WHEN h10 > 0 THEN 1e0 ELSE 0e0 END AS hit_10,
   CASE WHEN h50 > 0 THEN 1e0 ELSE 0e0 END AS hit_50, coalesce(1e0 / fst, 0) AS mrr_10, coalesce(dcg / ideal, 0) AS ndcg_10,
-  coalesce(nh / CAST(nullif(nd, 0) AS DOUBLE), 0) AS p, coalesce(nh / CAST(nullif(ng, 0) AS DOUBLE), 0) AS r FROM m3),
+  coalesce(nh / CAST(nullif(n_pred, 0) AS DOUBLE), 0) AS p, coalesce(nh / CAST(nullif(ng, 0) AS DOUBLE), 0) AS r FROM m3),
 m5 AS (SELECT * EXCLUDE (p, r), p AS evidence_precision, r AS evidence_recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0e0 END AS evidence_f1 FROM m4)
 {final}"""
 
@@ -185,12 +185,12 @@ def sha256_ids(spark, d):
 
 @_query(f"WITH {BM} SELECT term, CAST(df AS BIGINT) AS df, round(ln(1e0 + (n - df + 5e-1) / (df + 5e-1)), 6) AS idf FROM df CROSS JOIN st")
 def bm25_terms(spark, d):
-    return BM25.fit(I.documents(spark, d)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return I.index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @_query(f"WITH {BM} SELECT term, doc_id, tf, CAST(dl AS INTEGER) AS dl FROM tf JOIN dl USING (doc_id)")
 def bm25_postings(spark, d):
-    return BM25.fit(I.documents(spark, d)).postings
+    return I.index(spark, d).postings
 
 
 @_query(f"WITH {BM} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM br")
@@ -236,14 +236,14 @@ def l2_normalize(spark, d):
 
 
 _DENSE = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM e),
-s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_inner_product(a.v, b.v) AS score FROM n a JOIN n b ON a.vec_id % 25 = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_inner_product(a.v, b.v) AS score FROM n a JOIN n b ON a.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 10)"""
 
 
 @_query(f"{_DENSE} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r")
 def dense_flat_topk(spark, d):
     e = I.table(spark, d, "embeddings")
-    return rounded(dense_top_k(e, e.where("vec_id % 25 = 0"), 10).select("query_id", "doc_id", "score", "rank"))
+    return rounded(dense_top_k(e, e.where("vec_id % 20 = 0"), 10).select("query_id", "doc_id", "score", "rank"))
 
 
 # -- fusion ---------------------------------------------------------------------------------
