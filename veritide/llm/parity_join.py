@@ -310,16 +310,17 @@ def _joining_links(percent: int):
     return work
 
 
-def _met_in_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of a key as groups of at most two blocks, sorted by group: a small key is one group, of a larger one every two blocks meet."""
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    dealt = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    meeting = dealt.select("*", other).where((F.col("blocks") <= 2) | (F.col("block") != F.col("other")))
-    # one or two blocks are one group
-    group = F.when(F.col("blocks") <= 2, F.xxhash64("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
-    met = meeting.where((F.col("blocks") > 2) | (F.col("other") == 0)).select(group.alias("group"), *columns)
-    return met.repartition("group").sortWithinPartitions("group", "node")
+def _dealt_in_blocks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of a key with the groups they meet in: a key of up to two blocks is one group, of a larger one every two blocks meet."""
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")).where("blocks > 2")
+    dealt = rows.join(blocks, "key", "left").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("block")))
+    group = F.when(F.col("blocks").isNull(), F.xxhash64("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+    return dealt.withColumn("other", F.explode(others)).select(group.alias("group"), *columns)
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    return rows.repartition("group").sortWithinPartitions("group", "node")
 
 
 def _classes(slim: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -368,17 +369,18 @@ def _classes(slim: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     open_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     rest = written(labelled.join(open_keys, "key", "left_semi"))
     drop(met)
-    made = written(
-        texts.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_sketches(size, percent), "node long, band long, n long, sketch binary")
+    made = texts.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(
+        _sketches(size, percent), "node long, band long, n long, sketch binary"
     )
-    rows = rest.select("key", "node", "label").join(made.select("node", "n", "sketch"), "node")
+    # groups are dealt on bare rows, so that sketches and sets travel once to their node and once to their group
+    rows = _dealt_in_blocks(rest, ["key", "node", "label"]).join(made.select("node", "n", "sketch"), "node")
     near = written(
-        _met_in_blocks(rows, ["key", "node", "n", "label", "sketch"]).mapInArrow(_near_others(percent), "key long, node long, label long").distinct()
+        _gathered(rows.select("group", "key", "node", "n", "label", "sketch")).mapInArrow(_near_others(percent), "key long, node long, label long").distinct()
     )
-    drop(rest, made)
+    drop(rest)
     sets = texts.join(near.select("node").distinct(), "node", "left_semi").mapInArrow(_set_rows(size), "node long, shingles binary")
-    rows = near.join(sets, "node").select("key", "node", "label", "shingles")
-    more = written(_met_in_blocks(rows, ["node", "label", "shingles"]).mapInArrow(_joining_links(percent), "a long, b long").distinct())
+    rows = _dealt_in_blocks(near, ["node", "label"]).join(sets, "node").select("group", "node", "label", "shingles")
+    more = written(_gathered(rows).mapInArrow(_joining_links(percent), "a long, b long").distinct())
     drop(near, texts)
     reached = components(links.unionByName(more))
     with_label = written(classes.join(reached, "node", "left").withColumn("label", F.coalesce("label", "node")))
