@@ -74,6 +74,18 @@ def tidy(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 64):
+    """Hand few rows at a time to Python, where a row may hold megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

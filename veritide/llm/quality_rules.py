@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, read
+from .common import BLANKS, drop, let, read, rows_of, written
 
 #: Largest number of labelled rows that a list is learned from, chosen by a hash of the id.
 SAMPLE_ROWS = 20_000
@@ -27,7 +27,6 @@ FEATURES = (
 )
 
 WINDOW = 3
-_INDEX_BITS = 22  # word positions in a text; a text of over 4 million words still counts right
 
 
 def words_of(text: Column) -> Column:
@@ -212,7 +211,7 @@ def fit_rules(
     """A decision list from at most ``sample_rows`` labelled ids (the smallest by hash of the id).
 
     An id with several labels counts with its lowest; null ids and labels are left out. The
-    sample's ids are bounded, so they are broadcast and only their texts are looked at.
+    sample's ids are bounded, so they are broadcast; of an id with several texts one counts.
     """
     sample = (
         labels.where(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull())
@@ -221,13 +220,17 @@ def fit_rules(
         .orderBy(F.xxhash64("__id"), "__id")
         .limit(sample_rows)
     )
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(sample), "__id")
-    got = (
+    # The sample's texts are written first, so that statistics are computed for them alone; of an id's
+    # rows the smallest by hash counts, so that the sample is bounded in rows too.
+    met = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(sample), "__id")
+    one = met.groupBy("__id", "__quality").agg(F.min_by("__t", F.xxhash64("__t")).alias("__t"))
+    rows = written(one)
+    got = rows_of(
         with_statistics(rows, keep=["__id", "__quality"], text_col="__t")
         .where("not base_failed")
         .select("__id", "__quality", F.abs(F.xxhash64("__id", F.lit(7))) % 3, *[f"features.{f}" for f in FEATURES])
-        .collect()
     )
+    drop(rows)
     if not got:
         return []
     got.sort(key=lambda r: (r[0], *r[3:]))
@@ -244,14 +247,16 @@ def list_column(rules: list[Rule]) -> Column:
 
 
 def judge(docs: DataFrame, rules: list[Rule], *, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep``, the base statistics, base_failed, ``rule`` (the one that fits first) and ``kept``.
+    """``keep``, the base statistics, base_failed, ``kept`` and ``rule`` (the one that fits first).
 
     A null or empty text has no words: all statistics 0, base_failed true, kept false. Rows are
     judged one by one, so repeated rows, ties and empty tables need no rule; columns other
     than ``keep`` and the text are not read.
     """
     out = with_statistics(docs, keep=keep, text_col=text_col).withColumn("rule", list_column(rules))
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop("features")
+    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).select(
+        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ together by their minimizer (the smallest hash among their 16-byte substrings, t
 equals): strings with one minimizer that follow each other in a text form a fragment, and equal strings have
 equal minimizers, so a bucket of minimizers holds all occurrences of its strings.
 
-In a bucket, equal fragments are collapsed; fragments that share a minimizer but differ are dealt
+In a batch and in a bucket, equal fragments are collapsed (by their bytes); fragments that share a minimizer but differ are dealt
 to shards. Each shard sorts its own rotations once and keeps its Burrows-Wheeler transform
 (the GRAM bytes before each rotation). The shards' transforms are merged by refining their
 interleave: a round puts the rotations in order of GRAM more bytes by one stable pass over the
@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, read
+from .common import buckets_for, read, small_batches, written
 from .mail import by_bucket
 from .textops import mixed
 
@@ -109,6 +109,18 @@ def _gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return data[np.repeat(start - np.cumsum(size) + size, size) + np.arange(total)]
 
 
+def _equal_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Which spans of the data hold the same bytes as the other ones, some thousands at a time."""
+    out = (end - start) == (other_end - other)
+    rows = np.flatnonzero(out)
+    for i in range(0, len(rows), 20_000):
+        r = rows[i : i + 20_000]
+        size = end[r] - start[r]
+        differs = _gathered(data, start[r], end[r]) != _gathered(data, other[r], other_end[r])
+        out[r] = np.add.reduceat(differs, np.cumsum(size) - size, dtype=np.int64) == 0
+    return out
+
+
 def _packed(pack, row: np.ndarray, facts: np.ndarray, gone_row: np.ndarray, gone: np.ndarray, texts: np.ndarray, body: bytes) -> bytes:
     """Fragments (text, start, size, minimizer, its offset), places of repeated ones, and the bytes, in narrow columns."""
     used, at = np.unique(np.concatenate([row, gone_row]), return_inverse=True)
@@ -156,6 +168,10 @@ def _fragment_mail(buckets: int, length: int):
                 same = np.zeros(len(order), bool)
                 same[1:] = (seed[1:] == seed[:-1]) & (what[1:] == what[:-1])
                 first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+                # a hash only proposes; a fragment goes as a copy if its bytes are those of the first one
+                at_same = np.flatnonzero(same)
+                same[at_same] = _equal_bytes(data, start[at_same], end[at_same], start[first[at_same]], end[first[at_same]])
+                first = np.where(same, first, np.arange(len(order)))
                 # a repeated row's fragment stands at the same place and repeats nothing
                 later = same & ((ids != ids[first]).any(axis=1) | (at != at[first]))
                 meta = np.stack([ids[:, 0], ids[:, 1], at, end - start, seed.view(np.int64), mark - start])
@@ -401,11 +417,13 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if length % GRAM or not 2 * _SEED <= length <= 130:  # a fragment's size is kept in a byte
         raise ValueError(f"length must be a multiple of {GRAM} from {2 * _SEED} to 130")
     rows = _keyed(docs, id_col, text_col).select("__id", "__hash", "__text")
-    buckets = buckets_for(docs.select(id_col, text_col), 8 << 20)
+    buckets = buckets_for(docs.select(id_col, text_col), 4 << 20)
     mail = rows.mapInArrow(_fragment_mail(buckets, length), "bucket int, payload binary")
     spans = (
         mail.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_spans(length), "id long, hash long, start long, end long")
     )
+    with small_batches(docs.sparkSession):  # payloads are large
+        spans = written(spans)
     return spans.groupBy(F.col("id").alias("__id"), F.col("hash").alias("__hash")).agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans")
     )
