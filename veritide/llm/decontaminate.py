@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import packed, read, unpacked, written
 
-#: Length of q-grams in characters.
+#: Length of q-grams in characters, at most: items that short grams alone can be sure to share something with have shorter ones.
 Q = 8
 
 #: Edits that a match may have, as a share of the item's normalised characters.
@@ -80,24 +80,43 @@ def _gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
+def edit_budget(m: int, rate: float) -> int:
+    """Edits that an item of ``m`` normalised characters may have."""
+    return int(m * rate + 1e-9)
+
+
 class ItemIndex:
-    """Q-grams of a block of items, for scanning texts."""
+    """Q-grams of a block of items, for scanning texts; one part for each length of gram in use.
+
+    An item of m characters and k edits has grams of min(q, m // (k + 1)) characters: that many
+    leave at least one gram whole, whatever the edits.
+    """
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = EDIT_RATE):
-        self.q = q
         self.ids: list[int] = []
-        self.codes: list[np.ndarray] = []
+        by: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item_id, text in items:
             codes = normalised(text)[0]
-            if len(codes) >= q:
+            if len(codes):
+                by.setdefault(min(q, len(codes) // (edit_budget(len(codes), rate) + 1)), []).append((len(self.ids), codes))
                 self.ids.append(item_id)
-                self.codes.append(codes)
+        self.parts = [_Part(q, [n for n, _ in held], [c for _, c in held], rate) for q, held in sorted(by.items())]
+
+    def scan(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
+        """(text number, item number, start, end, edits) of matches, in characters of the texts."""
+        return _without_overlaps([(row, p.numbers[t], *x) for p in self.parts for row, t, *x in p.scan(texts)])
+
+
+class _Part:
+    """Items whose grams have one length."""
+
+    def __init__(self, q: int, numbers: list[int], codes: list[np.ndarray], rate: float):
+        self.q, self.numbers, self.codes = q, numbers, codes
         m = np.array([len(c) for c in self.codes], np.int64)
         self.m = m
-        # As many edits as the rate allows, and as leave at least one q-gram whole.
-        self.k = np.minimum((m * rate).astype(np.int64), np.maximum(m - q, 0) // q)
+        self.k = np.array([edit_budget(int(x), rate) for x in m], np.int64)
         self.least = m - q + 1 - self.k * q
-        self.step = np.maximum(2 * self.k + 1, 8)
+        self.step = 2 * self.k + 1
         hashes = [_gram_hashes(c, q) for c in self.codes]
         flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
@@ -113,9 +132,6 @@ class ItemIndex:
         self.reach = int((m + 2 * self.step + 2 * self.k).max()) if len(m) else 0
 
     def scan(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-        """(text number, item number, start, end, edits) of matches, in characters of the texts."""
-        if not self.ids:
-            return []
         found: list[tuple[int, int, int, int, int]] = []
         segments: list[tuple[int, np.ndarray, np.ndarray]] = []
         size = 0
@@ -129,7 +145,7 @@ class ItemIndex:
                     found += self._scan(segments)
                     segments, size = [], 0
         found += self._scan(segments)
-        return _without_overlaps(found)
+        return found
 
     def _scan(self, segments) -> list[tuple[int, int, int, int, int]]:
         if not segments:
@@ -240,17 +256,21 @@ def find_passages(
 
     ``start`` and ``end`` are characters of the text. Matches of one item in one text don't
     overlap: fewer edits go first, then the earlier start. Null texts and null items match
-    nothing, nor do items of fewer than ``q`` normalised characters. Each input row gives its
-    own rows, so repeated rows repeat. Items travel to the executors in blocks of
-    ``block_chars`` characters; each block is one pass over the texts. No shuffle.
+    nothing, nor do items without a letter or digit; items of under ten normalised characters match
+    whole only. Each input row gives its own rows, so repeated rows repeat. Items go through the driver to
+    the executors in blocks of ``block_chars`` characters, one block in memory at a time; each block is
+    one pass over the texts, whose matches are written if there are several. No shuffle.
     """
     rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("__text"))
     kept, item_type = rows.schema[0].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {kept}, `{item_col}` {item_type}, start long, end long, edits long"
-    out = None
-    for block in _blocks(items, item_col, item_text_col, block_chars):
-        index = ItemIndex(block, q, rate)
-        part = rows.mapInArrow(_scanner(index, id_col, item_col), schema)
+    out, blocks = None, _blocks(items, item_col, item_text_col, block_chars)
+    block = next(blocks, None)
+    while block is not None:
+        part = rows.mapInArrow(_scanner(ItemIndex(block, q, rate), id_col, item_col), schema)
+        block = next(blocks, None)
+        if block is not None or out is not None:  # a plan would keep every block's index
+            part = written(part)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else rows.sparkSession.createDataFrame([], schema)
 
@@ -276,9 +296,10 @@ def _scanner(index: ItemIndex, id_col: str, item_col: str):
 
 
 def clean(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` whose text has no match; ids that are null stay."""
-    hits = find_passages(docs, items, id_col=id_col, text_col=text_col, **options).select(id_col).distinct()
-    return docs.join(hits, id_col, "left_anti")
+    """Rows of ``docs`` whose text has no match, null ids and texts included; rows are told apart by a 64-bit hash of the text, not by id."""
+    rows = packed(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
+    hits = find_passages(rows.select("hash", "text"), items, id_col="hash", **options).select("hash").distinct()
+    return unpacked(rows.join(hits, "hash", "left_anti"), docs.columns, id_col, text_col)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,15 @@ cut into words at places that no piece can cross. Words not seen before are enco
 their symbols lie in one flat array, each round finds every word's best pair (lowest rank =
 highest score) and merges its leftmost occurrences in all words at once, and the array is
 compacted, until no pair remains. The merge order within a word is that of the library's
-queue: best score first, then leftmost.
+queue: best score first, then leftmost. A word of more than LONG_WORD symbols would take a round
+over all of it for each merge of an unsteady piece; it is merged by a queue of its pairs instead,
+in n log n steps.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -25,6 +28,9 @@ from .common import read
 #: Words remembered by a worker before it starts anew; bounds its memory.
 CACHE_WORDS = 400_000
 
+#: Words of more symbols (no spaces: encoded data, some scripts) are merged by a queue.
+LONG_WORD = 256
+
 _SPACE = "▁"
 
 
@@ -88,6 +94,7 @@ class PieceModel:
         self._byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         self._cut = self._boundaries()
         self._words: dict[str, tuple[bytes, str]] = {}
+        self._pairs: dict[int, int] = {}
 
     def _boundaries(self) -> re.Pattern:
         """Where a text can be cut: before a space mark that follows something else, and round line feeds."""
@@ -142,9 +149,39 @@ class PieceModel:
         ends = np.cumsum(np.bincount(word, minlength=len(words)))
         return sym[order], ends.tolist()
 
+    def merge_queue(self, word: str) -> list[int]:
+        """Symbols of one word after all merges, by a queue of its pairs."""
+        if not self._pairs:
+            self._pairs = dict(zip(self.pair_key.tolist(), self.pair_to.tolist(), strict=True))
+        pair, rank, width = self._pairs.get, self.rank_of.tolist(), self.n_symbols
+        sym = [self.symbol.get(c, self.other) for c in word]
+        after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
+        queue = [(rank[to], i, to) for i in range(len(sym) - 1) if (to := pair(sym[i] * width + sym[i + 1])) is not None]
+        heapq.heapify(queue)
+        end = len(sym)
+        while queue:
+            _, i, to = heapq.heappop(queue)
+            j = after[i]
+            # stale if a side was merged since; a pair that forms the same piece again stands as well
+            if sym[i] < 0 or j >= end or pair(sym[i] * width + sym[j]) != to:
+                continue
+            sym[i], sym[j] = to, -1
+            after[i] = k = after[j]
+            if k < end:
+                before[k] = i
+                if (new := pair(to * width + sym[k])) is not None:
+                    heapq.heappush(queue, (rank[new], i, new))
+            if (h := before[i]) >= 0 and (new := pair(sym[h] * width + to)) is not None:
+                heapq.heappush(queue, (rank[new], h, new))
+        return [x for x in sym if x >= 0]
+
     def _learn(self, words: list[str]) -> None:
         n = len(self.pieces)
-        flat, ends = self.merge_rounds(words)
+        cut = next((k for k, w in enumerate(words) if len(w) > LONG_WORD), len(words))  # they come by length
+        flat, ends = self.merge_rounds(words[:cut]) if cut else (np.empty(0, np.int64), [])
+        for w in words[cut:]:
+            flat = np.concatenate([flat, np.array(self.merge_queue(w), np.int64)])
+            ends.append(len(flat))
         packed, symbols, plain = flat.astype("<u4").tobytes(), flat.tolist(), self._plain
         odd = set(np.searchsorted(ends, np.flatnonzero(flat >= n), side="right").tolist())
         a = 0
