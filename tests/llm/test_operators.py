@@ -190,6 +190,59 @@ def test_style_tree_removes_boilerplate_and_joins_alike(spark):
         assert got == {i: f"Page {i} says {i * 7}\n\nand {i * 3}" for i in range(40)}
 
 
+def plain_tree(pages):
+    """The merged tree by dictionaries: (path of style, place and label) to importance, for nodes of several pages."""
+    styles, texts, counts = defaultdict(list), defaultdict(list), Counter()
+    for page in pages:
+        nodes, blocks = html_main.parse(page)
+        path = [()]
+        for n in nodes[1:]:
+            path.append((*path[n.parent], tuple(nodes[n.parent].children), n.index, n.label))
+        for k, n in enumerate(nodes):
+            if n.prior:
+                counts[path[k]] += 1
+                styles[path[k]].append(tuple(n.children))
+        for i, t in {(i, t) for i, t in blocks if nodes[i].prior}:
+            texts[path[i]].append(t)
+    out = {}
+    for k, m in counts.items():
+        if m > 1:
+            drawn, share = 1 - 1 / m, [n / m for n in Counter(styles[k]).values()]
+            entropy = -sum(p * math.log(p, m) for p in share)
+            own = [math.log(n, m) for n in Counter(texts[k]).values()]
+            out[k] = (m, len(share), 1 - drawn * (1 - entropy), 1 - drawn * sum(own) / len(own) if own else None)
+    return sorted(out.values(), key=str)
+
+
+def test_style_tree_matches_dictionaries(spark):
+    random.seed(4)
+    pages = []
+    for i in range(30):
+        body = "".join(random.choice((f"<p>own {i} {k}</p>", "<p>shared</p>", "<div class=x><h2>Head</h2><p>in</p></div>")) for k in range(random.randint(1, 3)))
+        pages.append(f"<body><div class=top><p>Same</div><div id=content>{body}</div><footer>f</footer>")
+    rows = [(i, f"http://a.b/{i}", p) for i, p in enumerate(pages)]
+    tree = html_main.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    rounded = lambda t: sorted([tuple(None if x is None else round(x, 9) for x in r) for r in t], key=str)
+    assert rounded([(r["pages"], r["styles"], r["presentation"], r["content"]) for r in tree]) == rounded(plain_tree(pages))
+    assert all(0 <= r["presentation"] <= 1 and 0 <= (r["content"] or 0) <= 1 for r in tree) and len(tree) > 5
+
+
+def test_pages_without_marks_and_with_odd_classes(spark):
+    prose = lambda i: f"<p>Paragraph {i} with its own words {i * 13}.</p><p>Another one, {i}.</p>"
+    made = {
+        1: ("<body class='single no-sidebar'><div>" + prose(1) + "</div></body>", "Paragraph 1 with its own words 13.\n\nAnother one, 1."),
+        2: ("<body><article><p>Price text that is long enough.</p><div class='share-price related'>Shares rose.</div></article>", "Price text that is long enough.\n\nShares rose."),
+        3: ("<body><div id=content>" + prose(3) * 3 + "</div><article>Teaser</article>", "\n\n".join(["Paragraph 3 with its own words 39.\n\nAnother one, 3."] * 3 + ["Teaser"])),
+        4: ("<body><article><p>Long article text.</p><section class=comments><p>First!</p></section></article><div>Other</div>", "Long article text."),
+        5: ("<body><div class='cookie-banner'>OK?</div><div class='site-footer'>F</div><div class=story>" + prose(5) + "</div>", "Paragraph 5 with its own words 65.\n\nAnother one, 5."),
+    }
+    rows = [(i, f"http://h{i}.b/", page) for i, (page, _) in made.items()]
+    rows += [(100 + i, f"http://many.b/{i}", f"<body><div><p>All pages of this site say so.</p></div><div>{prose(i)}</div>") for i in range(12)]
+    got = dict(rows_of(html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id", "text"))
+    assert {i: got[i] for i in made} == {i: t for i, (_, t) in made.items()}
+    assert all(got[100 + i] == f"Paragraph {i} with its own words {i * 13}.\n\nAnother one, {i}." for i in range(12))
+
+
 # -- 5 --------------------------------------------------------------------------------------
 
 

@@ -1,12 +1,14 @@
 """Main text of web pages by site style trees.
 
-Pages of a host are merged into one tree of element nodes (tags and classes from the root). A node's
-presentation importance is the entropy of its child sequences over the host's pages; its content
-importance is one less the mean entropy of its text blocks: a block on every page weighs nothing.
-Both combine bottom-up, damped as in the published method, and branches of low importance are
-removed from each page. Element kinds that are never article text (menus, forms, scripts,
-adverts, comments and the like) have no importance whatever their entropy. If a page marks its
-article, only that counts.
+Pages of a host are merged into one tree. A node is an element at its place in its parent's
+sequence of children (a style), below its parent's node; so a page has a node at most once. A node's presentation
+importance is the entropy of its child sequences over the pages that have it; its content importance is one less the mean
+entropy of its text blocks: a block on every page weighs nothing. Both combine bottom-up, damped as in the published
+method, towards 1 for nodes of few pages, and branches of low importance are removed from each page.
+
+Two priors enter that importance. Elements that hold no prose (scripts, menus, forms, footers and
+the like, and elements whose whole class names say so) have none. A marked article that holds most
+of a page's text takes it from what stands outside.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from .url_filter import host_of
 #: A branch below this composite importance goes.
 LEAST_IMPORTANCE = 0.2
 
-#: A host's tree counts from so many pages on; with fewer, all nodes are fully important.
-LEAST_PAGES = 8
+#: What a weak class name leaves of a branch's importance inside an article.
+WEAK_PRIOR = 0.5
 
 #: Damping of the composite importance.
 DAMPING = 0.9
@@ -56,12 +58,16 @@ _CLOSED_BY = {
     "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"},
 }
 _SCOPES = frozenset("table ul ol dl select article section div body main aside nav footer form".split())
+# Class names of branches without prose, of branches that have some inside an article, and words that may stand beside them.
 _NEVER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored banner promo promotion cookie cookies consent notice "
-    "notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments "
-    "disqus respond reply replies share sharing social related recommended newsletter subscribe subscription login signup "
-    "toolbar widget widgets pagination pager skip".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent popup modal overlay sidebar menu nav "
+    "navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus respond replies newsletter subscribe login signup "
+    "pagination pager".split()
 )
+_WEAK_WORDS = frozenset(
+    "banner promo promotion notice notices alert reply share sharing social related recommended subscription toolbar widget widgets skip header".split()
+)
+_PLAIN_WORDS = frozenset("site page main global top bottom left right list box bar container wrapper section area block inner outer item items links text content".split())
 _NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
@@ -71,16 +77,26 @@ _ATTR = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+
 @dataclass
 class Node:
     tag: str
-    key: int
+    label: str
     parent: int
-    never: bool
+    index: int
+    prior: float
     article: bool
     children: list[str] = field(default_factory=list)
 
 
+def _named(given: dict[str, str], words: frozenset[str]) -> bool:
+    """Whether a whole class name or id is one of ``words``, alone or in a compound with plain words."""
+    for name in f"{given.get('class', '')} {given.get('id', '')}".lower().split():
+        parts = re.findall(r"[a-z0-9]+", name)
+        if any(x in words for x in parts) and all(x in words or x in _PLAIN_WORDS or x in _WEAK_WORDS for x in parts):
+            return True
+    return False
+
+
 def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     """Element nodes in page order, and (node, text) of each text block with white space collapsed."""
-    nodes = [Node("", 0, -1, False, False)]
+    nodes = [Node("", "", -1, 0, 1.0, False)]
     blocks: list[tuple[int, str]] = []
     if not page:
         return nodes, blocks
@@ -136,28 +152,30 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in _VOID:
             continue
         given = {a.lower(): html.unescape(x or y or z or "") for a, x, y, z in _ATTR.findall(m[3])} if "=" in m[3] else {}
-        names = sorted(set(re.findall(r"[a-z0-9]+", f"{given.get('class', '')} {given.get('id', '')}".lower())))
         above = nodes[stack[-1]]
         label = f"{tag}.{'.'.join(given.get('class', '').split())}"
         inside = above.article or tag in ("article", "main")
-        never = (
-            above.never
-            or tag in _NEVER
+        prior = above.prior
+        if (
+            tag in _NEVER
             or (tag == "header" and not above.article)
-            or not _NEVER_WORDS.isdisjoint(names)
             or given.get("role", "").lower() in _NEVER_ROLES
-            or (not inside and "header" in names)
             or "display:none" in given.get("style", "").replace(" ", "").lower()
             or given.get("aria-hidden") == "true"
-        )
-        key = xxhash.xxh64_intdigest(f"{above.key}/{label}") >> 1
+        ):
+            prior = 0.0
+        elif tag not in ("html", "body", "main", "article") and given:
+            if _named(given, _NEVER_WORDS):
+                prior = 0.0
+            elif _named(given, _WEAK_WORDS):
+                prior = min(prior, WEAK_PRIOR) if inside else 0.0
         if tag in _RAW:
             found = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
             at = end if found is None else (page.find(">", found.start()) + 1 or end)
             above.children.append(label)
             continue
         above.children.append(label)
-        nodes.append(Node(tag, key, stack[-1], never, inside))
+        nodes.append(Node(tag, label, stack[-1], len(above.children) - 1, prior, inside))
         stack.append(len(nodes) - 1)
     flush()
     return nodes, blocks
@@ -167,12 +185,21 @@ def _style(children: list[str]) -> int:
     return xxhash.xxh64_intdigest("|".join(children)) >> 1
 
 
+def node_keys(nodes: list[Node]) -> list[int]:
+    """Each node's key in the style tree: its parent's key and style, its place there, and its label."""
+    keys, styles = [0], [_style(n.children) for n in nodes]
+    for n in nodes[1:]:
+        keys.append(xxhash.xxh64_intdigest(f"{keys[n.parent]}/{styles[n.parent]}/{n.index}/{n.label}") >> 1)
+    return keys
+
+
 def tree_features(page: str | None) -> Counter:
-    """(node, kind, value) of a page, once each: kind 0 the node itself, 1 its child sequence, 2 a text block."""
+    """(node, kind, value) of a page: kind 0 the node itself, 1 its child sequence, 2 a text block, once each. Nodes without prose have none."""
     nodes, blocks = parse(page)
-    out = {(n.key, 0, 0) for n in nodes[1:]}
-    out |= {(n.key, 1, _style(n.children)) for n in nodes[1:]}
-    out |= {(nodes[i].key, 2, xxhash.xxh64_intdigest(t) >> 1) for i, t in blocks}
+    keys = node_keys(nodes)
+    out = {(k, 0, 0) for k, n in zip(keys, nodes, strict=True) if n.prior}
+    out |= {(k, 1, _style(n.children)) for k, n in zip(keys, nodes, strict=True) if n.prior}
+    out |= {(keys[i], 2, xxhash.xxh64_intdigest(t) >> 1) for i, t in blocks if nodes[i].prior}
     return Counter(out)
 
 
@@ -223,13 +250,14 @@ def style_tree(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
         F.coalesce(of(2, F.lit(1)), F.lit(0)).alias("blocks"),
         of(2, F.log("n")).alias("block_sum"),
     )
-    m = F.log(F.col("pages").cast("double"))
-    counted = F.col("pages") >= LEAST_PAGES
+    # nodes of one page are fully important and need no row; of few pages, their importance is drawn towards 1
+    several = merged.where("pages > 1")
+    m, drawn = F.log(F.col("pages").cast("double")), 1 - 1 / F.col("pages")
     return written(
-        merged.select(
+        several.select(
             "host", "node", "pages", "styles",
-            F.when(counted, 1 - F.col("style_sum") / F.col("pages") / m).otherwise(F.lit(1.0)).alias("presentation"),
-            F.when(counted & (F.col("blocks") > 0), 1 - F.col("block_sum") / F.col("blocks") / m).alias("content"),
+            (1 - drawn * F.col("style_sum") / F.col("pages") / m).alias("presentation"),
+            F.when(F.col("blocks") > 0, 1 - drawn * F.col("block_sum") / F.col("blocks") / m).alias("content"),
         )
     )
 
@@ -238,28 +266,26 @@ Tree = dict[int, tuple[int, float, float | None]]
 
 
 def main_text(page: str | None, tree: Tree) -> str:
-    """The page's article: its blocks, joined by two line feeds, without low branches."""
+    """The page's article: its blocks, joined by two line feeds, without branches of low importance."""
     nodes, blocks = parse(page)
-    blocks = [(i, t) for i, t in blocks if not nodes[i].never]
-    marked = [(i, t) for i, t in blocks if nodes[i].article]
-    if marked:
-        blocks = marked
-    kept = blocks
-    if tree:
-        worth = composite(nodes, blocks, tree)
-        low = [False] * len(nodes)
-        for i in range(1, len(nodes)):
-            low[i] = low[nodes[i].parent] or worth[i] < LEAST_IMPORTANCE
-        kept = [(i, t) for i, t in blocks if not low[i]] or blocks
-    return "\n\n".join(t for _, t in kept)
+    blocks = [(i, t) for i, t in blocks if nodes[i].prior]
+    inside = sum(len(t) for i, t in blocks if nodes[i].article)
+    if 2 * inside > sum(len(t) for _, t in blocks):
+        blocks = [(i, t) for i, t in blocks if nodes[i].article]
+    worth = composite(nodes, blocks, tree)
+    low = [False] * len(nodes)
+    for i in range(1, len(nodes)):
+        low[i] = low[nodes[i].parent] or worth[i] * nodes[i].prior < LEAST_IMPORTANCE
+    return "\n\n".join(t for _, t in [(i, t) for i, t in blocks if not low[i]] or blocks)
 
 
 def composite(nodes: list[Node], blocks: list[tuple[int, str]], tree: Tree) -> list[float]:
     """Importance of each node's branch, from the leaves up; nodes that the tree lacks are fully important."""
     with_text = {i for i, _ in blocks}
+    keys = node_keys(nodes)
     total, parts, worth = [0.0] * len(nodes), [0] * len(nodes), [1.0] * len(nodes)
     for i in range(len(nodes) - 1, -1, -1):
-        styles, presentation, content = tree.get(nodes[i].key, (1, 1.0, 1.0))
+        styles, presentation, content = tree.get(keys[i], (1, 1.0, 1.0))
         if i in with_text:
             total[i] += 1.0 if content is None else content
             parts[i] += 1
@@ -310,23 +336,22 @@ def extract(
     """id, url, text and n_chars of every row, repeated rows included.
 
     A null or empty html gives an empty text. A null url, or one without ``://``, has the host
-    '', whose pages form one tree. If the tree finds all of a page's article unimportant (a site of copies), the
-    article stays. Other columns are not read.
+    '', whose pages form one tree. If the tree finds all of a page's prose unimportant (a site of copies), the
+    prose stays. Other columns are not read.
     """
     tree = style_tree(pages, url_col=url_col, html_col=html_col)
-    useful = tree.where(F.col("pages") >= LEAST_PAGES)
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"),
         F.col(html_col).alias("html"),
     )
     schema = f"id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars long"
-    if useful.count() <= broadcast_nodes:
+    if tree.count() <= broadcast_nodes:
         trees: dict[str, Tree] = {}
-        for r in useful.collect():
+        for r in tree.collect():
             trees.setdefault(r["host"], {})[r["node"]] = (r["styles"], r["presentation"], r["content"])
         out = rows.mapInArrow(_rows_of(trees), schema)
     else:
-        held = useful.groupBy("host").agg(F.collect_list(F.struct("node", "styles", "presentation", "content")).alias("tree"))
+        held = tree.groupBy("host").agg(F.collect_list(F.struct("node", "styles", "presentation", "content")).alias("tree"))
         held = held.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(_SALTS)])))
         salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(_SALTS)).cast("int"))
         out = salted.join(held, ["host", "salt"], "left").select("id", "url", "host", "html", "tree").mapInArrow(_rows_joined, schema)
