@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, fold, read, written
+from .common import buckets_for, drop, fold, read, rows_of, small_batches, written
 from .mail import by_bucket
 from .textops import mixed, word_hashes
 
@@ -35,7 +35,9 @@ BUCKETS = 24
 _END = np.uint64(0xE4D0F7E27ED0F1E5)
 _BEGIN = np.uint64(0xB5A10B7E6C17D5A3)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
-_QUANT = 8  # cells of a log2 unit in the table that weights are learned from; it goes to the driver
+#: Rounds of expectation maximisation, which end early when no weight moves by TOLERANCE.
+ROUNDS = 60
+TOLERANCE = 1e-9
 
 _ROW = "to long, kind int, chunk long, payload binary"
 
@@ -106,16 +108,15 @@ class Chunk:
         before = np.empty_like(now)
         before[1:] = now[:-1]
         before[np.concatenate([[0], self.ends[:-1]])] = _BEGIN
-        # 56 bits: the sorted questions pack to five bytes a pair
-        keys, at = np.unique(mixed(before * _PAIR + now) >> np.uint64(8), return_inverse=True)
+        keys, at = np.unique(mixed(before * _PAIR + now), return_inverse=True)
         return keys, at.reshape(-1)
 
 
-def _asked(chunk: int, keys: np.ndarray, at: np.ndarray, part: np.ndarray, buckets: int, shift: int) -> list[tuple[int, int, int, bytes]]:
+def _asked(chunk: int, keys: np.ndarray, at: np.ndarray, part: np.ndarray, buckets: int) -> list[tuple[int, int, int, bytes]]:
     """Questions of a chunk, one for each bucket: sorted keys with this chunk's counts by part (0 others, 1 deleted)."""
     counts = [_sums(at, part == p, len(keys)).astype(np.uint32) for p in (0, DELETED_PART)]
     # buckets are ranges of the hash, so that sorted keys fall apart in order
-    bucket = ((keys >> np.uint64(shift)) * np.uint64(buckets)) >> np.uint64(32)
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
     out = []
     for b in range(buckets):
@@ -145,7 +146,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _chunks(words_of: int):
     """(id, part, text) to numbered chunks of about ``words_of`` words; deleted texts have chunks of their own, with odd numbers.
 
-    The same rows in the same order give the same chunks; a reader's answers are checked against that.
+    Chunks are written, so that a reader's answers are those of the chunks that asked.
     """
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
@@ -175,24 +176,25 @@ def _chunks(words_of: int):
     return chunks
 
 
-def _sent(words_of: int, only_deleted: bool):
-    """Texts to packed chunks."""
+def _sent(words_of: int):
+    """Texts to packed chunks. They are written once, and all that follows reads them."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, c in _chunks(words_of)(batches):
-            if number & 1 or not only_deleted:
-                yield _row([(number, 0, -1, c.packed())])
+            yield _row([(number, 0, -1, c.packed())])
 
     return send
 
 
-def _ask(pairs: bool, words_of: int, buckets: int):
-    """Texts to their chunks' questions about words or pairs."""
+def _ask(pairs: bool, buckets: int):
+    """Chunks to their questions about words or pairs."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, c in _chunks(words_of)(batches):
-            keys, at = c.pairs() if pairs else (c.keys, c.words)
-            yield _row(_asked(number, keys, at, c.parts[c.text], buckets, 24 if pairs else 32))
+        for batch in batches:
+            for number, x in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+                c = Chunk.unpacked(x.as_py())
+                keys, at = c.pairs() if pairs else (c.keys, c.words)
+                yield _row(_asked(number, keys, at, c.parts[c.text], buckets))
 
     return ask
 
@@ -204,7 +206,7 @@ def _totals(size: int, rows: list[tuple[int, int, bytes]], kind: int) -> list[np
         return [np.zeros(0, np.int64)] * 2
     out = [np.concatenate([g[p] for g in got]).astype(np.int64) for p in range(2)]
     if len(out[0]) != size:
-        raise RuntimeError("the texts came in another order when they were read again")
+        raise RuntimeError("a chunk lacks answers")
     return out
 
 
@@ -221,26 +223,19 @@ def context_bucket(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.frexp(count.astype(float))[1], BUCKETS - 1)
 
 
-def _cells(n_main: int, v_main: int, begins_main: int):
-    """Chunks with words' and pairs' counts to cells of deleted tokens: (context bucket, log2 of both estimates over the uniform one)."""
+def _cells(begins_main: int):
+    """Chunks with words' and pairs' counts to cells of deleted tokens: counts of context, word and pair, and how many tokens have them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, int] = {}
+        held: dict[tuple[int, int, int], int] = {}
         for _, rows in by_bucket(batches, columns=(1, 2, 3)):
             c = Chunk.unpacked(next(x for k, _, x in rows if k == 0))
             keys, at = c.pairs()
             one, two = _totals(len(c.keys), rows, 1)[0], _totals(len(keys), rows, 3)[0]
             asked = c.parts[c.text] == DELETED_PART
-            context = _context_counts(c, one, begins_main)[asked]
-            p2 = two[at[asked]] / np.maximum(context, 1)
-            p1 = one[c.words[asked]] / max(n_main, 1)
-            cell = context_bucket(context).astype(np.int64)
-            for p in (p2, p1):
-                with np.errstate(divide="ignore"):
-                    q = np.where(p > 0, np.rint(np.log2(p * (v_main + 1)) * _QUANT) + 32768, 0).astype(np.int64)
-                cell = cell * 65536 + np.clip(q, 0, 65535)
-            for k, n in zip(*(x.tolist() for x in np.unique(cell, return_counts=True)), strict=True):
-                held[k] = held.get(k, 0) + n
+            facts = np.stack([_context_counts(c, one, begins_main)[asked], one[c.words[asked]], two[at[asked]]], 1)
+            for k, n in zip(*(x.tolist() for x in np.unique(facts, axis=0, return_counts=True)), strict=True):
+                held[tuple(k)] = held.get(tuple(k), 0) + n
             if len(held) > 500_000:
                 yield _cell_batch(held)
                 held = {}
@@ -250,27 +245,39 @@ def _cells(n_main: int, v_main: int, begins_main: int):
     return work
 
 
-def _cell_batch(held: dict[int, int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["cell", "n"])
+def _cell_batch(held: dict[tuple[int, int, int], int]) -> pa.RecordBatch:
+    columns = [*zip(*held, strict=True), list(held.values())]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["context", "one", "two", "n"])
+
 
+def learn_weights(cells: DataFrame, n: int, v: int, smooth: float = 1.0) -> np.ndarray:
+    """(BUCKETS, 3) weights (uniform, word, pair) by expectation maximisation; each bucket starts even, with ``smooth`` tokens of its own.
 
-def learn_weights(cells: list[tuple[int, int]], rounds: int = 60, smooth: float = 1.0) -> np.ndarray:
-    """(BUCKETS, 3) weights (uniform, word, pair) by expectation maximisation; each bucket starts even, with ``smooth`` tokens of its own."""
+    ``cells`` (context, one, two, tokens ``n``) stays distributed; a round is one aggregation to a row a bucket.
+    """
     out = np.full((BUCKETS, 3), 1 / 3)
     out[0] = (0.5, 0.5, 0.0)
-    if not cells:
-        return out
-    key = np.array([c for c, _ in cells], np.int64)
-    n = np.array([x for _, x in cells], float)
-    bucket = key >> 32
-    q2, q1 = (key >> 16) & 65535, key & 65535
-    ratio = np.stack([np.ones(len(key)), *(np.where(q > 0, np.exp2((q - 32768) / _QUANT), 0.0) for q in (q1, q2))], 1)
-    prior = out.copy() * smooth
-    for _ in range(rounds):
-        share = out[bucket] * ratio
-        share *= (n / share.sum(axis=1))[:, None]
-        total = prior + np.stack([np.bincount(bucket, weights=share[:, k], minlength=BUCKETS) for k in range(3)], 1)
-        out = total / total.sum(axis=1, keepdims=True)
+    prior = out * smooth
+    context = F.col("context").cast("double")
+    bucket = F.when(F.col("context") == 0, 0).otherwise(F.least(F.floor(F.log2(context) + 1e-12) + 1, F.lit(BUCKETS - 1))).cast("int")
+    # estimates over the uniform one
+    table = written(
+        cells.select(
+            bucket.alias("bucket"), (F.col("one") / F.lit(max(n, 1)) * (v + 1)).alias("r1"),
+            (F.col("two") / F.greatest("context", F.lit(1)) * (v + 1)).alias("r2"), F.col("n").cast("double").alias("n"),
+        )
+    )
+    for _ in range(ROUNDS):
+        w = [F.get(F.array(*[F.lit(float(x)) for x in out[:, k]]), F.col("bucket")) for k in range(3)]
+        parts = table.select("bucket", "n", w[0].alias("a"), (w[1] * F.col("r1")).alias("b"), (w[2] * F.col("r2")).alias("c"))
+        share = lambda k: F.sum(F.col("n") * F.col(k) / (F.col("a") + F.col("b") + F.col("c"))).alias(k)
+        total = prior.copy()
+        for r in rows_of(parts.groupBy("bucket").agg(share("a"), share("b"), share("c"))):
+            total[r["bucket"]] += (r["a"], r["b"], r["c"])
+        before, out = out, total / total.sum(axis=1, keepdims=True)
+        if np.abs(out - before).max() < TOLERANCE:
+            break
+    drop(table)
     return out
 
 
@@ -323,21 +330,24 @@ def score(docs: DataFrame, *, id_col: str, part_col: str, text_col: str = "text"
         return out.repartition(buckets, "to").sortWithinPartitions("to", "kind")
 
     def summary(answers: DataFrame) -> np.ndarray:
-        got = [np.frombuffer(r[0], np.int64) for r in answers.where("to = -1").select("payload").collect()]
+        got = [np.frombuffer(r[0], np.int64) for r in rows_of(answers.where("to = -1").select("payload"))]
         return np.sum(got, axis=0) if got else np.zeros(4, np.int64)
 
-    words = answered(rows.mapInArrow(_ask(False, chunk_words, buckets), _ROW))
-    v, v_main, n_main, n_deleted = summary(words).tolist()
-    starts = {r[0]: r[1] for r in rows.groupBy("part").count().collect()}
-    begins_main, begins = starts.get(0, 0), starts.get(0, 0) + starts.get(DELETED_PART, 0)
-    n = n_main + n_deleted
-    pairs = answered(rows.mapInArrow(_ask(True, chunk_words, buckets), _ROW))
-    answers = words.where("to <> -1").unionByName(pairs.where("to <> -1").withColumn("kind", F.lit(3)))
-    deleted = gathered(rows.mapInArrow(_sent(chunk_words, True), _ROW), answers.where("to % 2 = 1"))
-    cells = deleted.mapInArrow(_cells(n_main, v_main, begins_main), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    weights = learn_weights([(r[0], r[1]) for r in cells.collect()])
-    both = gathered(rows.mapInArrow(_sent(chunk_words, False), _ROW), answers)
-    out = both.mapInArrow(_scores(weights, n, v, begins), "id long, n_tokens long, n_known long, base_score double, score double")
+    chunks = written(rows.mapInArrow(_sent(chunk_words), _ROW))
+    with small_batches(docs.sparkSession):  # payloads are large
+        words = answered(chunks.mapInArrow(_ask(False, buckets), _ROW))
+        v, v_main, n_main, n_deleted = summary(words).tolist()
+        starts = {r[0]: r[1] for r in rows_of(rows.groupBy("part").count())}
+        begins_main, begins = starts.get(0, 0), starts.get(0, 0) + starts.get(DELETED_PART, 0)
+        n = n_main + n_deleted
+        pairs = answered(chunks.mapInArrow(_ask(True, buckets), _ROW))
+        answers = words.where("to <> -1").unionByName(pairs.where("to <> -1").withColumn("kind", F.lit(3)))
+        deleted = gathered(chunks.where("to % 2 = 1"), answers.where("to % 2 = 1"))
+        cells = written(deleted.mapInArrow(_cells(begins_main), "context long, one long, two long, n long").groupBy("context", "one", "two").agg(F.sum("n").alias("n")))
+        weights = learn_weights(cells, n_main, v_main)
+        both = gathered(chunks, answers)
+        out = written(both.mapInArrow(_scores(weights, n, v, begins), "id long, n_tokens long, n_known long, base_score double, score double"))
+    drop(chunks, words, pairs, cells)
     return out.select(
         F.when(F.col("id") != -(1 << 63), F.col("id")).alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
     )
