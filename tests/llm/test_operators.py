@@ -389,6 +389,25 @@ def test_large_open_groups_meet_in_blocks(spark, monkeypatch):
     assert all((got[i] == got[j]) == (roots[i] == roots[j]) for i in range(60) for j in range(60))
 
 
+def test_linked_sets_share_a_part():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for percent in (80, 90):
+        linked = 0
+        for _ in range(3000):
+            n = int(rng.integers(4, 120))
+            x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            drop, more = int(rng.integers(0, n // 8 + 2)), int(rng.integers(0, n // 8 + 2))
+            y = np.concatenate([x[drop:], rng.integers(0, 1 << 63, more, dtype=np.uint64)])
+            both, either = n - drop, n + more
+            if len(y) and 100 * both >= percent * either and (drop or more):
+                linked += 1
+                keys = [set(parity_join.part_keys(np.sort(z), parity_join.Bands(percent)).tolist()) for z in (x, y)]
+                assert keys[0] & keys[1]
+        assert linked > 300
+
+
 # -- 8 --------------------------------------------------------------------------------------
 
 

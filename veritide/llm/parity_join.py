@@ -63,6 +63,11 @@ class Bands:
         y = x * 100 // self.percent
         return (x + y) * (100 - self.percent) // (100 + self.percent)
 
+    def most(self, n: int, c: int) -> int:
+        """Most shingles by which a set of ``n`` and one linked with it in sketch class ``c`` differ."""
+        other = n * 100 // self.percent if c == self.band(n) else self.lows[c + 1] - 1
+        return (n + other) * (100 - self.percent) // (100 + self.percent)
+
 
 def sketch(shingles: np.ndarray, parts: int) -> np.ndarray:
     """``parts`` words of 64 parity bits."""
@@ -73,15 +78,26 @@ def sketch(shingles: np.ndarray, parts: int) -> np.ndarray:
 
 
 def part_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys on which the set meets others; none where only equal sets can be linked."""
+    """Keys on which the set (ascending shingles) meets others; none where only equal sets can be linked.
+
+    A part's key is the exclusive or of its shingles' 64-bit hashes: untouched parts have equal ones. An empty part
+    tells little, so its key is left out unless it may be needed: linked sets that differ by d shingles have an untouched part
+    that is not empty if d is less than the number of parts that are not, and d is bounded by the sets' sizes.
+    """
     n = len(shingles)
     b = bands.band(n)
     out = []
+    hashed = mixed(shingles)
     for c in (b, b - 1):
         if c >= 0 and (t := bands.apart(c)):
-            s = sketch(shingles, t + 1)
-            salt = np.uint64(c << 40) + np.arange(1, t + 2, dtype=np.uint64)
-            out.append(mixed(s + mixed(salt)))
+            part = (((shingles >> np.uint64(32)) * np.uint64(t + 1)) >> np.uint64(32)).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            salt = mixed(np.uint64(c << 40) + np.arange(1, t + 2, dtype=np.uint64))
+            out.append(mixed(np.bitwise_xor.reduceat(hashed, first) + salt[part[first]]))
+            if len(first) <= t and bands.most(n, c) >= len(first):
+                empty = np.ones(t + 1, bool)
+                empty[part[first]] = False
+                out.append(mixed(salt[empty]))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
