@@ -518,6 +518,35 @@ def test_line_dedup_is_native(docs):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_frequent_words_lose_no_line(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    random.seed(12)
+    rows = []
+    for i in range(60):
+        words = [f"c{k}" for k in range(12)]
+        for _ in range(random.randint(0, 4)):
+            words[random.randrange(12)] = f"r{random.randrange(6)}"
+        rows.append((i, " ".join(words) + ("\n" if i % 9 == 0 else "") + ("a b" if i % 2 else "")))
+    seen, want = [], {}
+    for i, t in rows:
+        kept = []
+        for x in t.split("\n"):
+            w = frozenset(x.split())
+            if not w or not any(100 * len(w & o) >= 80 * len(w | o) for o in seen):
+                kept.append(x)
+            if w:
+                seen.append(w)
+        want[i] = "\n".join(kept)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("__kept", "__hash", "n_lines", "cls", "id", "rest"):
+        docs = docs.withColumn(name, F.lit(name))
+    out = line_dedup.dedup_lines(docs)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert out.columns == [*[c for c in docs.columns if c != "n_lines"], "n_lines", "n_removed_lines"] and got[0]["__hash"] == "__hash" and got[0]["n_lines"] == 2
+    assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
 # -- 10 -------------------------------------------------------------------------------------
 
 
