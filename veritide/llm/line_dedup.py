@@ -142,7 +142,7 @@ def _judged(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
 def later_matches(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Classes (cls, w0, w1, n) whose first place has an earlier place with a similar set. Written."""
-    prefixes = written(_prefix_rows(classes))
+    prefixes = _prefix_rows(classes)
     hot = written(prefixes.groupBy("token").count().where(F.col("count") > HOT).select("token", F.ceil(F.col("count") / HOT).alias("blocks")))
     any_hot = not hot.isEmpty()
     mild = prefixes.join(hot, "token", "left_anti") if any_hot else prefixes
@@ -169,7 +169,7 @@ def later_matches(classes: DataFrame, rows: DataFrame, percent: int) -> DataFram
         late = _placed(_pairs(met), classes).join(gone.select(F.struct(*_CLASS).alias("k")), F.struct(*[f"y.{c}" for c in _CLASS]) == F.col("k"), "left_anti")
         before, rest = rest, written(rest.unionByName(late).distinct())
         drop(before)
-    drop(prefixes, hot)
+    drop(hot)
     return _with_more(gone, rest, rows, percent)
 
 
