@@ -153,11 +153,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def int_array(spark: SparkSession, values: list[int]) -> Column:
-    """A literal array of ints, also of many (``F.lit`` makes an expression of each element)."""
+def long_array(spark: SparkSession, values: list[int]) -> Column:
+    """A literal array of longs, also of many (``F.lit`` makes an expression of each element)."""
     jvm = spark.sparkContext._jvm
-    data = bytearray(struct.pack(f">{len(values)}i", *values))
-    buffer = jvm.java.nio.IntBuffer.allocate(len(values)).put(jvm.java.nio.ByteBuffer.wrap(data).asIntBuffer())
+    data = bytearray(struct.pack(f">{len(values)}q", *values))
+    buffer = jvm.java.nio.LongBuffer.allocate(len(values)).put(jvm.java.nio.ByteBuffer.wrap(data).asLongBuffer())
     return _column(jvm.org.apache.spark.sql.functions.lit(buffer.array()))
 
 

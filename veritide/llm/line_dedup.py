@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, drop, int_array, let, packed, read, rows_of, runtime_filters, unpacked, written
+from .common import BLANKS, drop, let, long_array, packed, read, rows_of, runtime_filters, unpacked, written
 
 #: Jaccard similarity, in per cent, from which two lines match.
 PERCENT = 80
@@ -50,14 +50,14 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def _ranks(rows: DataFrame) -> Column:
-    """Place of each hash bucket by its number of words over all lines, rarest first (a fixed-size array)."""
+    """Place of each hash bucket by its number of words over all lines, rarest first, as the top bits of a token (a fixed-size array)."""
     words = _lines(rows).select(F.explode(_words("line")).alias("word"))
     counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit((1 << RANK_BITS) - 1)).alias("bucket")).count()
     order = rows_of(counts.agg(F.sort_array(F.collect_list(F.struct("count", "bucket")))["bucket"].alias("order")))[0][0]
     ranks = [0] * (1 << RANK_BITS)
     for place, bucket in enumerate(order, 1):
-        ranks[bucket] = place
-    return int_array(rows.sparkSession, ranks)
+        ranks[bucket] = place << (62 - RANK_BITS)
+    return long_array(rows.sparkSession, ranks)
 
 
 def line_classes(rows: DataFrame, ranks: Column, percent: int) -> DataFrame:
@@ -65,8 +65,8 @@ def line_classes(rows: DataFrame, ranks: Column, percent: int) -> DataFrame:
     mask = (1 << RANK_BITS) - 1
 
     def number(h: Column) -> Column:
-        place = F.get(ranks, h.bitwiseAND(F.lit(mask)).cast("int")).cast("long")
-        return F.shiftleft(place, 62 - RANK_BITS).bitwiseOR(F.shiftrightunsigned(h, RANK_BITS + 2))
+        place = F.get(ranks, h.bitwiseAND(F.lit(mask)).cast("int"))
+        return place.bitwiseOR(F.shiftrightunsigned(h, RANK_BITS + 2))
 
     hashes = F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w)))
     # Generators keep the filter from computing a set once more.
