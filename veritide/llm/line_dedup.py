@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, drop, let, long_array, packed, read, rows_of, runtime_filters, unpacked, written
+from .common import BLANKS, drop, estimated_bytes, let, long_array, packed, read, rows_of, runtime_filters, unpacked, written
 
 #: Jaccard similarity, in per cent, from which two lines match.
 PERCENT = 80
@@ -30,6 +30,9 @@ RANK_BITS = 16
 #: A word in the prefixes of more classes than this is met in two steps, and in blocks of so many classes.
 HOT = 1000
 
+#: Places to look up are broadcast if their table takes no more bytes than this; others are shuffled.
+SMALL_BYTES = 4 << 20
+
 #: A class: a hash of its tokens, 128 parity bits, and its size.
 _CLASS = ("cls", "w0", "w1", "n")
 
@@ -123,10 +126,11 @@ def _judged(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     key = lambda s: F.struct(*[f"{s}.{c}" for c in _CLASS])
     places = pairs.select(F.explode(F.array("x", "y")).alias("p")).distinct()
     wanted = written(places.groupBy("p.doc", "p.text_hash").agg(F.collect_list(F.struct(F.col("p.at").alias("at"), key("p").alias("key"))).alias("lines")))
+    way = "broadcast" if estimated_bytes(wanted) <= SMALL_BYTES else "shuffle_hash"
     with runtime_filters(spark):
         # The filter that is always true lets Spark build its Bloom filter of these ids.
         some = rows.where("text is not null").join(
-            wanted.where("size(lines) > 0").hint("shuffle_hash"), (F.col("id") == F.col("doc")) & (F.xxhash64("text") == F.col("text_hash"))
+            wanted.where("size(lines) > 0").hint(way), (F.col("id") == F.col("doc")) & (F.xxhash64("text") == F.col("text_hash"))
         )
         lines = some.select("lines", F.explode(F.array(F.split("text", "\n"))).alias("all")).select("all", F.explode("lines").alias("l"))
         one = lines.select("l.key", F.get("all", F.col("l.at")).alias("line")).dropDuplicates(["key"])
