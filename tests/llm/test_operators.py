@@ -520,6 +520,7 @@ def test_line_dedup_is_native(docs):
 
 def test_frequent_words_lose_no_line(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "HOT", 3)
+    monkeypatch.setattr(line_dedup, "SMALL_BYTES", -1)
     random.seed(12)
     rows = []
     for i in range(60):
