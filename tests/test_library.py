@@ -129,6 +129,31 @@ def test_links_of_copies_and_near_copies_grow_with_the_rows(spark):
     assert dedup.near_duplicate_pairs(rows).count() == 180 * 179 // 2
 
 
+def test_pareto_counts_equal_brute_force_and_no_pairs_are_made(spark):
+    rng = np.random.default_rng(3)
+    odd = [None, float("nan"), 0.0, -0.0]
+    data = [(i, "ab"[i % 2] if i % 19 else None, int(rng.integers(0, 9)), odd[i % 4] if i % 11 == 0 else float(rng.integers(0, 6)), int(rng.integers(0, 4))) for i in range(150)]
+    df = spark.createDataFrame(data, "id long, of string, x int, y double, z int").repartition(3)
+    high = lambda v: (v != v, 0.0 if v != v else v)  # noqa: E731 NaN is the largest, as in Spark
+    for up, down in ((["x"], ["y"]), (["x"], []), (["y", "x"], ["z"])):
+        want = {}
+        for a in data:
+            sign = [(dict(id=0, of=1, x=2, y=3, z=4)[c], s) for s, cs in ((1, up), (-1, down)) for c in cs]
+            n = 0
+            for b in data:
+                if a[1] is None or a[1] != b[1] or any(r[k] is None for k, _ in sign for r in (a, b)):
+                    continue
+                ahead = [(high(b[k]) > high(a[k])) - (high(b[k]) < high(a[k])) for k, _ in sign]
+                ahead = [x * s for x, (_, s) in zip(ahead, sign, strict=True)]
+                n += min(ahead) >= 0 and max(ahead) > 0
+            want[a[0]] = n
+        out = metrics.pareto_front(df, group="of", name="id", maximise=up, minimise=down)
+        assert {r["id"]: r["dominated_by"] for r in out.collect()} == want
+        assert all(r["on_front"] == (r["dominated_by"] == 0) for r in out.collect())
+    many = spark.range(200_000).select("id", F.lit(1).alias("of"), (F.col("id") % 1000).alias("x"), F.col("id").alias("y"))
+    assert metrics.pareto_front(many, group="of", name="id", maximise=["x"], minimise=["y"]).agg(F.sum("dominated_by")).first()[0] == 9_959_950_000
+
+
 def test_rankers(spark):
     rows = [("q%d" % (i // 4), i, float(i % 4), 2 if i % 4 == 3 else 0) for i in range(24)]
     df = spark.createDataFrame(rows, "query_id string, doc_id long, f double, relevance int")

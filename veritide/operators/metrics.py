@@ -144,18 +144,59 @@ def citation_scores(gold: DataFrame, predicted: DataFrame, claims: DataFrame) ->
     return one.select(prec.alias("precision"), rec.alias("recall"), f1.alias("f1"), "completeness")
 
 
+def _as_good(points: DataFrame, group: str, ranks: list[str], last: Column) -> DataFrame:
+    """Adds ``as_good``: how many rows (sum of ``copies``) of a point's group have no larger rank and no larger ``last``.
+
+    Ranks count from 1. Counts below a rank are sums over aligned runs of 1, 2, 4 and so on ranks, so
+    that each point is counted in a logarithm of runs a rank, and asks as many; within a combination of
+    runs a running sum along ``last`` answers.
+    """
+    held, asks = points.withColumn("asks", F.lit(0)), points.withColumn("asks", F.lit(1))
+    levels = F.sequence(F.lit(0), F.length(F.bin("most")) - 1)
+
+    def shifted(value: Column, by: Column) -> Column:
+        return F.call_function("shiftright", value, by)
+
+    def runs(at) -> Column:
+        return F.transform(levels, lambda e: F.struct(e.alias("e"), at(e).alias("run")))
+
+    for k, r in enumerate(ranks):
+        rank = F.col(r)
+        # The ranks up to this one are one run for each of its bits.
+        bit = lambda x: shifted(rank, x["e"]).bitwiseAND(F.lit(1)) == 1  # noqa: B023, E731
+        held = held.withColumn("most", F.col(f"{r}_most")).withColumn(f"run{k}", F.explode(runs(lambda e: shifted(rank - 1, e))))  # noqa: B023
+        asks = asks.withColumn("most", F.col(f"{r}_most")).withColumn(f"run{k}", F.explode(F.filter(runs(lambda e: shifted(rank, e) - 1), bit)))  # noqa: B023
+    w = Window.partitionBy(group, *[f"run{k}" for k in range(len(ranks))]).orderBy(last).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = held.unionByName(asks).withColumn("n", F.sum(F.when(F.col("asks") == 0, F.col("copies")).otherwise(0)).over(w))
+    return both.where("asks = 1").groupBy("point").agg(F.sum("n").alias("as_good"))
+
+
 def pareto_front(rows: DataFrame, *, group: str, name: str, maximise: list[str], minimise: list[str]) -> DataFrame:
-    """Rows of each group that no other row equals or beats everywhere and beats somewhere; adds ``dominated_by`` (a count)."""
-    a, b = rows.alias("a"), rows.alias("b")
-    ge = [F.col(f"b.{c}") >= F.col(f"a.{c}") for c in maximise] + [F.col(f"b.{c}") <= F.col(f"a.{c}") for c in minimise]
-    gt = [F.col(f"b.{c}") > F.col(f"a.{c}") for c in maximise] + [F.col(f"b.{c}") < F.col(f"a.{c}") for c in minimise]
-    cond = F.col(f"a.{group}") == F.col(f"b.{group}")
-    for c in ge:
-        cond = cond & c
-    some = gt[0]
-    for c in gt[1:]:
-        some = some | c
-    beaten = a.join(b, cond & some).groupBy(F.col(f"a.{name}").alias(name)).agg(F.count("*").alias("dominated_by"))
+    """Rows of each group that no other row equals or beats everywhere and beats somewhere; adds ``dominated_by`` (a count).
+
+    Equal rows are one point. A point's dominators are the rows as good everywhere, less its equals;
+    they are counted (see :func:`_as_good`) in n log n rows an objective beside the last, never paired.
+    A null group or objective dominates nothing and is not dominated.
+    """
+    goals = [(c, True) for c in maximise] + [(c, False) for c in minimise]
+    columns = [c for c, _ in goals]
+    keys = ["of", *[f"g{k}" for k in range(len(goals))]]
+    known = rows.select(name, *[F.col(c).alias(k) for k, c in zip(keys, [group, *columns], strict=True)])
+    for k in keys:
+        known = known.where(F.col(k).isNotNull())
+    points = known.groupBy(*keys).agg(F.count("*").alias("copies"))
+    ranks = []
+    for k, (_, larger) in enumerate(goals[:-1]):
+        order = F.desc(f"g{k}") if larger else F.asc(f"g{k}")
+        place = points.select("of", f"g{k}").distinct().withColumn(f"rank{k}", F.row_number().over(Window.partitionBy("of").orderBy(order)).cast("long"))
+        place = place.withColumn(f"rank{k}_most", F.count("*").over(Window.partitionBy("of")))
+        points = points.join(place, ["of", f"g{k}"])
+        ranks.append(f"rank{k}")
+    last = len(goals) - 1
+    points = points.withColumn("most", F.lit(0).cast("long")).withColumn("point", F.struct(*keys, "copies"))
+    found = _as_good(points, "of", ranks, F.desc(f"g{last}") if goals[-1][1] else F.asc(f"g{last}"))
+    counts = found.select("point.*", "as_good").select(*keys, (F.col("as_good") - F.col("copies")).alias("more"))
+    beaten = known.join(counts, keys).groupBy(name).agg(F.sum("more").alias("dominated_by"))
     out = rows.join(beaten, name, "left").fillna(0, ["dominated_by"])
     return out.withColumn("on_front", F.col("dominated_by") == 0)
 
