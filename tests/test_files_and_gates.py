@@ -185,6 +185,16 @@ def test_splits(spark, tmp_path):
         splitting.public_corpus(notes.unionByName(notes.limit(1).withColumn("text", F.lit("x")))).collect()
 
 
+def test_claim_edges_of_copies_grow_with_the_claims(spark):
+    n, line = 120, " ".join(f"word{i}" for i in range(40))
+    claims = spark.createDataFrame([(f"{i:03d}", line if i % 2 else f"{line} x{i}") for i in range(n)], "claim_id string, text string")
+    notes = spark.createDataFrame([(f"{i:03d}", f"e{i}", "SUPPORTS", f"note {line}" if i % 2 else f"note {line} y{i}") for i in range(n)], "claim_id string, evidence_id string, label string, text string")
+    edges = splitting.claim_edges(claims, notes)
+    assert edges.count() < 8 * n
+    split = splitting.grouped_split(claims, notes)
+    assert {r["component"] for r in split.collect()} == {"000"} and split.count() == n
+
+
 def test_protocols_and_service(spark):
     docs = spark.createDataFrame([(1, "melting glaciers raise oceans quickly"), (2, "forests absorb carbon dioxide"), (3, "coal plants emit smoke")], "doc_id long, text string")
     claims = spark.createDataFrame([(7, "glaciers raise oceans"), (8, "unknown nonsense words")], "query_id long, text string")
