@@ -548,6 +548,21 @@ def test_frequent_words_lose_no_line(spark, monkeypatch):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_near_copies_are_not_paired_with_each_other(spark, monkeypatch):
+    words, sizes, write = [f"c{k}" for k in range(40)], [], line_dedup.written
+
+    def written(df):
+        out = write(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", written)
+    rows = [(i, " ".join([*words[: i % 40], f"r{i}", *words[i % 40 + 1 :]])) for i in range(200)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in out.where("n_removed_lines = 0").collect()} == {0}
+    assert max(sizes) < 10 * len(rows)
+
+
 # -- 10 -------------------------------------------------------------------------------------
 
 

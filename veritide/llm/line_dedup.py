@@ -7,16 +7,15 @@ symmetric difference) sift the pairs; Jaccard on the whole word sets decides. A
 earlier match goes. Lines of the same set are one class, whose first place alone can stay; sets
 too small to be similar to any other set need no prefix.
 
-Skew. Classes are collapsed with partial aggregation before anything meets. Words in the prefixes
-of up to HOT classes let all their classes meet; a class first tries its earliest candidate, then
-the others. Of a more frequent word, every class first tries the word's earliest class, so a
-large group of near copies gives a number of pairs in proportion to its lines; classes without
-a match meet all classes of the word, dealt into blocks of HOT. No class is left untried.
+Skew. Classes are collapsed with partial aggregation before anything meets. Every class first tries
+the earliest class of each of its prefix words, so a group of near copies of any size gives a number
+of pairs in proportion to its lines. Classes without a match meet all earlier classes of their words; those
+of a word in more than HOT prefixes are dealt into blocks of HOT. No class is left untried.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BLANKS, drop, estimated_bytes, let, long_array, packed, read, rows_of, runtime_filters, unpacked, written
@@ -36,6 +35,9 @@ SMALL_BYTES = 4 << 20
 #: A class: a hash of its tokens, 128 parity bits, and its size.
 _CLASS = ("cls", "w0", "w1", "n")
 
+#: Its place and key; classes are in this order.
+_PLACE = ("doc", "at", *_CLASS, "text_hash")
+
 
 def _words(line: Column | str) -> Column:
     """Lower-cased words; the plain split is much the faster one, and most lines have no other blank than spaces."""
@@ -89,35 +91,31 @@ def line_classes(rows: DataFrame, ranks: Column, percent: int) -> DataFrame:
     return written(facts.groupBy(*_CLASS).agg(F.min(F.struct("doc", "at", "text_hash", "prefix")).alias("first")).select(*_CLASS, "first.*"))
 
 
-def _prefix_rows(classes: DataFrame) -> DataFrame:
-    """(token, cls, w0, w1, n, pos): a row for each prefix word of each class."""
-    return classes.select(*_CLASS, F.posexplode("prefix").alias("pos", "token"))
+def _prefix_rows(classes: DataFrame, *more: str) -> DataFrame:
+    """A row (token, doc, at, cls, w0, w1, n, text_hash, pos) for each prefix word of each class."""
+    return classes.select(*_PLACE, *more, F.posexplode("prefix").alias("pos", "token"))
 
 
 def _side(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select("token", *[F.col(c).alias(f"{name}_{c}") for c in (*_CLASS, "pos")], *[c for c in rows.columns if c == "block"])
+    return rows.select(*[F.col(c).alias(c if c in ("token", "block") else f"{name}_{c}") for c in rows.columns])
+
+
+def _place(side: str) -> Column:
+    return F.struct(*[F.col(f"{side}_{c}").alias(c) for c in _PLACE])
 
 
 def _passes(percent: int) -> Column:
-    """Length, position and sketch filters on sides a and b; none of them drops a match."""
-    an, bn = F.col("a_n").cast("long"), F.col("b_n").cast("long")
+    """Order, length, position and sketch filters on sides x (the earlier one) and y; none of them drops a match."""
+    an, bn = F.col("x_n").cast("long"), F.col("y_n").cast("long")
     least = F.floor((percent * (an + bn) + 99 + percent) / (100 + percent)).cast("long")
-    most = F.least("a_pos", "b_pos") + 1 + F.least(an - F.col("a_pos") - 1, bn - F.col("b_pos") - 1)
-    apart = F.bit_count(F.col("a_w0").bitwiseXOR(F.col("b_w0"))) + F.bit_count(F.col("a_w1").bitwiseXOR(F.col("b_w1")))
-    return (100 * F.least(an, bn) >= percent * F.greatest(an, bn)) & (most >= least) & (apart <= an + bn - 2 * least)
+    most = F.least("x_pos", "y_pos") + 1 + F.least(an - F.col("x_pos") - 1, bn - F.col("y_pos") - 1)
+    apart = F.bit_count(F.col("x_w0").bitwiseXOR(F.col("y_w0"))) + F.bit_count(F.col("x_w1").bitwiseXOR(F.col("y_w1")))
+    sizes = (100 * F.least(an, bn) >= percent * F.greatest(an, bn)) & (most >= least) & (apart <= an + bn - 2 * least)
+    return (F.col("x_doc") <= F.col("y_doc")) & sizes & (_place("x") < _place("y"))
 
 
 def _pairs(met: DataFrame) -> DataFrame:
-    return met.select(*[f"{s}_{c}" for s in "ab" for c in _CLASS]).distinct()
-
-
-def _placed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs as (x, y), structs with the place and key of the earlier and the later class."""
-    place = F.struct("doc", "at", *_CLASS, "text_hash")
-    for s in "ab":
-        keys = [F.col(c).alias(f"{s}_{c}") for c in _CLASS]
-        pairs = pairs.join(classes.select(*keys, place.alias(s)), [f"{s}_{c}" for c in _CLASS])
-    return pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    return met.select(_place("x").alias("x"), _place("y").alias("y")).distinct()
 
 
 def _judged(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -144,35 +142,42 @@ def _judged(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def _first_tries(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (x, y) of a class and the earliest one of a prefix word, and (token, blocks) of words in more than HOT prefixes. Written."""
+    rows = _side(_prefix_rows(classes), "y")
+    w = Window.partitionBy("token").orderBy(*[f"y_{c}" for c in _PLACE])
+    firsts = [F.first(f"y_{c}").over(w).alias(f"x_{c}") for c in (*_PLACE, "pos")]
+    rows = rows.select("*", *firsts, F.row_number().over(w).alias("k"))
+    full = F.col("k") % HOT == 0
+    rows = rows.withColumn("tries", _passes(percent)).where(F.col("tries") | full)
+    found = written(rows.select("token", "k", "tries", full.alias("full"), _place("x").alias("x"), _place("y").alias("y")))
+    pairs = written(found.where("tries").select("x", "y").distinct())
+    hot = written(found.where("full").groupBy("token").agg((F.max("k") / HOT).cast("long").alias("blocks")))
+    drop(found)
+    return pairs, hot
+
+
 def later_matches(classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Classes (cls, w0, w1, n) whose first place has an earlier place with a similar set. Written."""
-    prefixes = _prefix_rows(classes)
-    hot = written(prefixes.groupBy("token").count().where(F.col("count") > HOT).select("token", F.ceil(F.col("count") / HOT).alias("blocks")))
-    any_hot = not hot.isEmpty()
-    mild = prefixes.join(hot, "token", "left_anti") if any_hot else prefixes
-    a, b = _side(mild, "a"), _side(mild, "b")
-    candidates = written(_pairs(a.join(b, "token").where((F.col("a_cls") < F.col("b_cls")) & _passes(percent))))
-    if any_hot:
-        stars = prefixes.join(hot, "token").join(classes.select(*_CLASS, "doc", "at"), list(_CLASS))
-        centre = stars.groupBy("token").agg(F.min(F.struct("doc", "at", *_CLASS, "pos")).alias("c"))
-        centre = centre.select("token", *[F.col(f"c.{c}").alias(f"a_{c}") for c in (*_CLASS, "pos")])
-        met = _pairs(_side(stars, "b").join(centre, "token").where((F.col("a_cls") != F.col("b_cls")) & _passes(percent)))
-        before, candidates = candidates, written(candidates.unionByName(met))
-        drop(before)
-    pairs = written(_placed(candidates, classes))
-    # A class tries its earliest candidate; those that it fails, all others.
+    pairs, hot = _first_tries(classes, percent)
+    # All of these are tried, the earliest first; then classes that they fail try all others.
     tried = _judged(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), rows, percent)
     gone = written(tried.where("ok").select(*[f"y.{c}" for c in _CLASS]))
-    rest = written(pairs.join(tried.where("not ok").select("y").distinct(), "y", "left_semi").join(tried.select("x", "y"), ["x", "y"], "left_anti"))
-    drop(candidates, pairs, tried)
+    others = written(pairs.join(tried.where("not ok").select("y"), "y", "left_semi").join(tried.select("x", "y"), ["x", "y"], "left_anti"))
+    drop(pairs, tried)
+    gone = _with_more(gone, others, rows, percent)
+    flags = classes.join(gone.withColumn("gone", F.lit(True)), list(_CLASS), "left").withColumn("open", F.col("gone").isNull())
+    every = _prefix_rows(flags, "open")
+    any_hot = not hot.isEmpty()
+    # Both sides are one and the same shuffle.
+    mild = every.join(F.broadcast(hot) if estimated_bytes(hot) <= SMALL_BYTES else hot, "token", "left_anti") if any_hot else every
+    rest = _pairs(_side(mild, "x").join(_side(mild, "y"), "token").where(F.col("y_open") & _passes(percent)))
     if any_hot:
-        left = prefixes.join(hot, "token").join(gone, list(_CLASS), "left_anti")
-        asks = _side(left.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")), "b")
-        held = _side(prefixes.join(hot, "token").withColumn("block", F.pmod(F.xxhash64(*_CLASS), "blocks")), "a")
-        met = asks.join(held, ["token", "block"]).where((F.col("a_cls") != F.col("b_cls")) & _passes(percent))
-        late = _placed(_pairs(met), classes).join(gone.select(F.struct(*_CLASS).alias("k")), F.struct(*[f"y.{c}" for c in _CLASS]) == F.col("k"), "left_anti")
-        before, rest = rest, written(rest.unionByName(late).distinct())
-        drop(before)
+        found = every.join(hot, "token")
+        asks = found.where("open").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))).alias("block"))
+        held = found.withColumn("block", F.pmod(F.xxhash64(*_CLASS), F.col("blocks") + 1))
+        rest = rest.unionByName(_pairs(_side(asks, "y").join(_side(held, "x"), ["token", "block"]).where(_passes(percent)))).distinct()
+    rest = written(rest)
     drop(hot)
     return _with_more(gone, rest, rows, percent)
 
