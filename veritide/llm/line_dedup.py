@@ -36,7 +36,7 @@ SMALL_BYTES = 4 << 20
 _CLASS = ("cls", "w0", "w1", "n")
 
 #: Its place and key; classes are in this order.
-_PLACE = ("doc", "at", *_CLASS, "text_hash")
+_PLACE = ("doc", "at", *_CLASS)
 
 
 def _words(line: Column | str) -> Column:
@@ -91,9 +91,9 @@ def line_classes(rows: DataFrame, ranks: Column, percent: int) -> DataFrame:
     return written(facts.groupBy(*_CLASS).agg(F.min(F.struct("doc", "at", "text_hash", "prefix")).alias("first")).select(*_CLASS, "first.*"))
 
 
-def _prefix_rows(classes: DataFrame, *more: str) -> DataFrame:
-    """A row (token, doc, at, cls, w0, w1, n, text_hash, pos) for each prefix word of each class."""
-    return classes.select(*_PLACE, *more, F.posexplode("prefix").alias("pos", "token"))
+def _prefix_rows(classes: DataFrame) -> DataFrame:
+    """A row (token, doc, at, cls, w0, w1, n, pos) for each prefix word of each class."""
+    return classes.select(*_PLACE, F.posexplode("prefix").alias("pos", "token"))
 
 
 def _side(rows: DataFrame, name: str) -> DataFrame:
@@ -108,7 +108,8 @@ def _passes(percent: int) -> Column:
     """Order, length, position and sketch filters on sides x (the earlier one) and y; none of them drops a match."""
     an, bn = F.col("x_n").cast("long"), F.col("y_n").cast("long")
     least = F.floor((percent * (an + bn) + 99 + percent) / (100 + percent)).cast("long")
-    most = F.least("x_pos", "y_pos") + 1 + F.least(an - F.col("x_pos") - 1, bn - F.col("y_pos") - 1)
+    ap, bp = F.when(F.col("x_pos") < 0, -1 - F.col("x_pos")).otherwise(F.col("x_pos")), F.col("y_pos")
+    most = F.least(ap, bp) + 1 + F.least(an - ap - 1, bn - bp - 1)
     apart = F.bit_count(F.col("x_w0").bitwiseXOR(F.col("y_w0"))) + F.bit_count(F.col("x_w1").bitwiseXOR(F.col("y_w1")))
     sizes = (100 * F.least(an, bn) >= percent * F.greatest(an, bn)) & (most >= least) & (apart <= an + bn - 2 * least)
     return (F.col("x_doc") <= F.col("y_doc")) & sizes & (_place("x") < _place("y"))
@@ -118,12 +119,12 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(_place("x").alias("x"), _place("y").alias("y")).distinct()
 
 
-def _judged(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def _judged(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Pairs with ``ok``: whether the lines' whole word sets are similar enough. Written."""
     spark = pairs.sparkSession
     key = lambda s: F.struct(*[f"{s}.{c}" for c in _CLASS])
-    places = pairs.select(F.explode(F.array("x", "y")).alias("p")).distinct()
-    wanted = written(places.groupBy("p.doc", "p.text_hash").agg(F.collect_list(F.struct(F.col("p.at").alias("at"), key("p").alias("key"))).alias("lines")))
+    places = pairs.select(F.explode(F.array("x", "y")).alias("p")).distinct().select("p", "p.*").join(classes.select(*_CLASS, "text_hash"), list(_CLASS))
+    wanted = written(places.groupBy("doc", "text_hash").agg(F.collect_list(F.struct(F.col("p.at").alias("at"), key("p").alias("key"))).alias("lines")))
     way = "broadcast" if estimated_bytes(wanted) <= SMALL_BYTES else "shuffle_hash"
     with runtime_filters(spark):
         # The filter that is always true lets Spark build its Bloom filter of these ids.
@@ -161,33 +162,36 @@ def later_matches(classes: DataFrame, rows: DataFrame, percent: int) -> DataFram
     """Classes (cls, w0, w1, n) whose first place has an earlier place with a similar set. Written."""
     pairs, hot = _first_tries(classes, percent)
     # All of these are tried, the earliest first; then classes that they fail try all others.
-    tried = _judged(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), rows, percent)
+    tried = _judged(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), classes, rows, percent)
     gone = written(tried.where("ok").select(*[f"y.{c}" for c in _CLASS]))
     others = written(pairs.join(tried.where("not ok").select("y"), "y", "left_semi").join(tried.select("x", "y"), ["x", "y"], "left_anti"))
     drop(pairs, tried)
-    gone = _with_more(gone, others, rows, percent)
-    flags = classes.join(gone.withColumn("gone", F.lit(True)), list(_CLASS), "left").withColumn("open", F.col("gone").isNull())
-    every = _prefix_rows(flags, "open")
+    gone = _with_more(gone, others, classes, rows, percent)
+    # A class that is gone asks no more: its positions are -1 - pos, so that both sides of the join are one and the same shuffle.
+    flags = classes.join(gone.withColumn("gone", F.lit(True)), list(_CLASS), "left")
+    every = flags.select(*_PLACE, "gone", F.posexplode("prefix").alias("pos", "token"))
+    every = every.withColumn("pos", F.when(F.col("gone"), -1 - F.col("pos")).otherwise(F.col("pos"))).drop("gone")
     any_hot = not hot.isEmpty()
-    # Both sides are one and the same shuffle.
     mild = every.join(F.broadcast(hot) if estimated_bytes(hot) <= SMALL_BYTES else hot, "token", "left_anti") if any_hot else every
-    rest = _pairs(_side(mild, "x").join(_side(mild, "y"), "token").where(F.col("y_open") & _passes(percent)))
+    # Written with both sides, lest the filter go below the shuffle of one.
+    open_y = F.least("y_pos", F.greatest("x_pos", F.lit(0))) >= 0
+    rest = _pairs(_side(mild, "x").join(_side(mild, "y"), "token").where(open_y & _passes(percent)))
     if any_hot:
         found = every.join(hot, "token")
-        asks = found.where("open").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))).alias("block"))
+        asks = found.where("pos >= 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))).alias("block"))
         held = found.withColumn("block", F.pmod(F.xxhash64(*_CLASS), F.col("blocks") + 1))
         rest = rest.unionByName(_pairs(_side(asks, "y").join(_side(held, "x"), ["token", "block"]).where(_passes(percent)))).distinct()
     rest = written(rest)
     drop(hot)
-    return _with_more(gone, rest, rows, percent)
+    return _with_more(gone, rest, classes, rows, percent)
 
 
-def _with_more(gone: DataFrame, pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def _with_more(gone: DataFrame, pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """``gone`` with the later classes of ``pairs`` that match. Replaces both written tables."""
     if pairs.isEmpty():
         drop(pairs)
         return gone
-    judged = _judged(pairs, rows, percent)
+    judged = _judged(pairs, classes, rows, percent)
     out = written(gone.unionByName(judged.where("ok").select(*[f"y.{c}" for c in _CLASS])).distinct())
     drop(gone, pairs, judged)
     return out
