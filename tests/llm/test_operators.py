@@ -627,3 +627,31 @@ def test_lm_odd_rows(spark, docs):
     nothing = interpolated_lm.score(rows.withColumn("part", F.lit(2)), id_col="doc_id", part_col="part").where("doc_id = 1").first()
     assert nothing["train_tokens"] == 0 and nothing["n_known"] == 0 and nothing["score"] <= 0
     assert interpolated_lm.score(rows.limit(0), id_col="doc_id", part_col="part").count() == 0
+
+
+def test_language_model_answers_take_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from veritide.llm import interpolated_lm as lm
+
+    rng = np.random.default_rng(1)
+    asked = []
+    for _ in range(40):
+        keys = np.unique(rng.integers(0, 1 << 22, 40_000, dtype=np.uint64) << np.uint64(40))
+        asked.append((keys, [rng.integers(0, 5, len(keys)).astype(np.uint32) for _ in range(2)]))
+    batch = lm._row([(7, 0, chunk, lm._pack(lm._steps(k), *c)) for chunk, (k, c) in enumerate(asked)])
+    size = sum(len(k) for k, _ in asked)
+    tracemalloc.start()
+    answers = [(r["to"], r["kind"], lm._unpack(r["payload"]) if r["kind"] == 1 else np.frombuffer(r["payload"], np.int64)) for b in lm._answers(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * size  # one merge of all keys took over 80 bytes a key
+    all_keys, at = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
+    totals = [np.bincount(at, weights=np.concatenate([c[q] for _, c in asked])).astype(np.int64) for q in range(2)]
+    for to, kind, got in answers[:-1]:
+        where = np.searchsorted(all_keys, asked[to][0])
+        assert kind == 1 and all((g == t[where]).all() for g, t in zip(got, totals, strict=True))
+    assert [to for to, _, _ in answers] == [*range(40), -1]
+    assert answers[-1][2].tolist() == [int((totals[0] + totals[1] > 0).sum()), int((totals[0] > 0).sum()), *(int(t.sum()) for t in totals)]

@@ -28,6 +28,12 @@ from .textops import mixed, word_hashes
 #: Words of one chunk, at most about so many.
 CHUNK_WORDS = 400_000
 
+#: Characters of texts hashed at once, at least one text.
+HASHED_AT_ONCE = 1 << 18
+
+#: Keys of a bucket's questions merged at once, about.
+STEP_KEYS = 1 << 17
+
 #: Of training texts, this part (by ``part``) is held out from the estimates that weights are learned on.
 DELETED_PART = 1
 
@@ -84,7 +90,16 @@ class Chunk:
 
     @classmethod
     def of(cls, ids: list[int], parts: list[int], texts: list[str | None]) -> Chunk:
-        flat, ends = word_hashes(texts)
+        found, begin = [], 0
+        while begin < len(texts):  # hashing takes many times the text's bytes
+            end, size = begin + 1, len(texts[begin] or "")
+            while end < len(texts) and size + len(texts[end] or "") <= HASHED_AT_ONCE:
+                size += len(texts[end] or "")
+                end += 1
+            found.append(word_hashes(texts[begin:end]))
+            begin = end
+        flat = np.concatenate([f for f, _ in found])
+        ends = np.concatenate([e + n for (_, e), n in zip(found, np.cumsum([0, *(len(f) for f, _ in found[:-1])]), strict=True)])
         # one end a text, after its words
         where = ends + np.arange(len(ends))
         full = np.empty(len(flat) + len(ends), np.uint64)
@@ -127,20 +142,40 @@ def _asked(chunk: int, keys: np.ndarray, at: np.ndarray, part: np.ndarray, bucke
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's questions to answers: for each asking chunk its keys' total counts, in its order; and a summary."""
+    """A bucket's questions to answers: for each asking chunk its keys' total counts, in its order; and a summary.
+
+    Keys are merged a range of about STEP_KEYS at a time; totals take the place of the counts.
+    """
     for bucket, rows in by_bucket(batches, columns=(2, 3)):
-        asked = [(chunk, *_unpack(x)) for chunk, x in sorted(rows)]
-        keys = [np.cumsum(x[1], dtype=np.uint64) for x in asked]
-        all_keys, at = np.unique(np.concatenate(keys), return_inverse=True)
-        at = at.reshape(-1)
-        totals = [_sums(at, np.concatenate([x[2 + p] for x in asked]), len(all_keys)) for p in range(2)]
-        begin = 0
-        for (chunk, *_), k in zip(asked, keys, strict=True):
-            mine = at[begin : begin + len(k)]
-            begin += len(k)
-            yield _row([(chunk, 1, bucket, _pack(*(t[mine].astype(np.uint32) for t in totals)))])
-        known = [int((t > 0).sum()) for t in (totals[0] + totals[1], totals[0])]
-        yield _row([(-1, 2, bucket, np.array([*known, *(int(t.sum()) for t in totals)], np.int64).tobytes())])
+        rows.sort()
+        chunks, keys, counts = [], [], []
+        while rows:  # a packed question goes when it is unpacked
+            chunk, packed = rows.pop()
+            steps, *mine = _unpack(packed)
+            chunks.append(chunk)
+            keys.append(np.cumsum(steps, dtype=np.uint64))
+            counts.append([c.copy() for c in mine])
+        low, high = min(int(k[0]) for k in keys), max(int(k[-1]) for k in keys)
+        parts = -(-sum(map(len, keys)) // STEP_KEYS)
+        bounds = np.array([low + (high - low) * i // parts for i in range(1, parts)], np.uint64)
+        cuts = [[0, *np.searchsorted(k, bounds).tolist(), len(k)] for k in keys]
+        facts = np.zeros(4, np.int64)
+        for p in range(parts):
+            here = [slice(c[p], c[p + 1]) for c in cuts]
+            all_keys, at = np.unique(np.concatenate([k[h] for k, h in zip(keys, here, strict=True)]), return_inverse=True)
+            at = at.reshape(-1)
+            totals = [_sums(at, np.concatenate([c[q][h] for c, h in zip(counts, here, strict=True)]), len(all_keys)) for q in range(2)]
+            facts += [int((t > 0).sum()) for t in (totals[0] + totals[1], totals[0])] + [int(t.sum()) for t in totals]
+            begin = 0
+            for c, h in zip(counts, here, strict=True):
+                mine = at[begin : begin + h.stop - h.start]
+                begin += len(mine)
+                for q in range(2):
+                    c[q][h] = totals[q][mine]
+        while chunks:
+            keys.pop()
+            yield _row([(chunks.pop(), 1, bucket, _pack(*counts.pop()))])
+        yield _row([(-1, 2, bucket, facts.tobytes())])
 
 
 def _chunks(words_of: int):
