@@ -563,6 +563,28 @@ def test_near_copies_are_not_paired_with_each_other(spark, monkeypatch):
     assert max(sizes) < 10 * len(rows)
 
 
+def test_similar_lines_meet_at_their_first_common_words_alone(spark):
+    sides = "x_{0} as y_{0}"
+    row = spark.range(1).selectExpr("1L as x_doc", "0 as x_at", "7L as x_cls", "0L as x_w0", "0L as x_w1", "20 as x_n", "explode(sequence(0, 4)) as x_pos")
+    both = row.selectExpr("*", "2L as y_doc", *[sides.format(c) for c in ("at", "cls", "w0", "w1", "n", "pos")])
+    # 18 common words are needed: the third of 20 is the last that can be the first of so many.
+    assert sorted(r["x_pos"] for r in both.where(line_dedup._passes(80)).collect()) == [0, 1, 2]
+
+
+def test_matched_classes_are_joined_once(spark, monkeypatch):
+    plans, write = [], line_dedup.written
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(line_dedup, "written", written)
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    rows = [(i, f"word one two three four five own{i} own{i + 1} own{i + 2}") for i in range(20)]
+    line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert max(p.count("LeftOuter") for p in plans) == 1
+
+
 # -- 10 -------------------------------------------------------------------------------------
 
 
