@@ -284,6 +284,30 @@ def test_long_words_take_seconds():
     assert time.perf_counter() - began < 60
 
 
+def test_remembered_words_are_bounded():
+    import tracemalloc
+
+    import sentencepiece
+
+    random.seed(5)
+    path = piece_codec.default_model()
+    model, library = piece_codec.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    often = [f"{k}ñ word{k % 89}" for k in range(500)] + ["😀▁\ud800x"]
+    tracemalloc.start()
+    for _ in range(12):
+        fresh = [" ".join("".join(random.choices("abcdefghijklmnopqrst", k=8)) for _ in range(300)) for _ in range(128)]
+        found = model.encode_many(often + fresh)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 << 20  # remembering 400,000 words and merging all new ones at once took 132 MB
+    for t, (ids, decoded) in list(zip(often + fresh, found, strict=True))[::50]:
+        if "\ud800" in t:
+            assert decoded == "😀 \ufffd\ufffd\ufffdx"
+        else:
+            want = library.encode(t, add_bos=True, add_eos=True)
+            assert list(memoryview(ids).cast("I")) == want and decoded == library.decode(want)
+
+
 # -- 6 --------------------------------------------------------------------------------------
 
 

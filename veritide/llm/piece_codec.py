@@ -25,8 +25,11 @@ from pyspark.sql.types import StructType
 
 from .common import read
 
-#: Words remembered by a worker before it starts anew; bounds its memory.
-CACHE_WORDS = 400_000
+#: A worker remembers the last so many words and those of the generation before; bounds its memory.
+CACHE_WORDS = 100_000
+
+#: New words are merged so many at a time, for the same reason.
+LEARN_WORDS = 8192
 
 #: Words of more symbols (no spaces: encoded data, some scripts) are merged by a queue.
 LONG_WORD = 256
@@ -93,7 +96,9 @@ class PieceModel:
         self._plain = [x.replace(_SPACE, " ") for x in self.pieces]
         self._byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         self._cut = self._boundaries()
-        self._words: dict[str, tuple[bytes, str]] = {}
+        self._words: dict[str, bytes] = {}
+        self._former: dict[str, bytes] = {}
+        self._unlike: dict[str, str] = {}  # words that do not decode to themselves
         self._pairs: dict[int, int] = {}
 
     def _boundaries(self) -> re.Pattern:
@@ -187,7 +192,8 @@ class PieceModel:
         a = 0
         for k, (w, b) in enumerate(zip(words, ends, strict=True)):
             if k not in odd:
-                self._words[w] = (packed[4 * a : 4 * b], "".join([plain[i] for i in symbols[a:b]]))
+                self._words[w] = packed[4 * a : 4 * b]
+                decoded = "".join([plain[i] for i in symbols[a:b]])
             else:  # characters without a piece fall back to their bytes
                 ids: list[int] = []
                 at = 0
@@ -198,30 +204,41 @@ class PieceModel:
                     else:
                         ids.extend(self.byte_ids[x] for x in w[at].encode("utf-8", "surrogatepass"))
                         at += 1
-                self._words[w] = (np.array(ids, "<u4").tobytes(), self.decode_ids(ids))
+                self._words[w] = np.array(ids, "<u4").tobytes()
+                decoded = self.decode_ids(ids)
+            if decoded != w.replace(_SPACE, " "):
+                self._unlike[w] = decoded
             a = b
 
     def encode_many(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """For each text: its ids as little-endian unsigned 32-bit integers with begin and end, and the decoded text.
 
-        The words that none of the texts so far had are merged together.
+        The words that are not remembered are merged together.
         """
         begin, end = (int(i).to_bytes(4, "little") for i in (self.bos, self.eos))
         cut = [self._cut.findall(_SPACE + t.replace(" ", _SPACE)) if t else [] for t in texts]
         if len(self._words) > CACHE_WORDS:
-            self._words.clear()
+            for w in self._unlike:
+                self._words.pop(w, None)
+            self._former, self._words, self._unlike = self._words, {}, {}
         get = self._words.get
         found = [list(map(get, words)) for words in cut]
         new = {w for words, got in zip(cut, found, strict=True) if None in got for w, x in zip(words, got, strict=True) if x is None}
         if new:
-            self._learn(sorted(new, key=len))
+            again = {w: self._former[w] for w in new if w in self._former}
+            self._words |= again
+            fresh = sorted(new - again.keys(), key=len)
+            for k in range(0, len(fresh), LEARN_WORDS):
+                self._learn(fresh[k : k + LEARN_WORDS])
         out = []
         for words, got in zip(cut, found, strict=True):
             if None in got:
                 got = list(map(get, words))
-            ids, plain = zip(*got, strict=True) if got else ((), ())
-            decoded = "".join(plain)
-            out.append((begin + b"".join(ids) + end, decoded[1:] if decoded[:1] == " " else decoded))
+            if self._unlike:
+                decoded = "".join([self._unlike[w] if w in self._unlike else w.replace(_SPACE, " ") for w in words])
+            else:
+                decoded = "".join(words).replace(_SPACE, " ")
+            out.append((begin + b"".join(got) + end, decoded[1:] if decoded[:1] == " " else decoded))
         return out
 
     def encode(self, text: str | None) -> list[int]:
