@@ -595,6 +595,21 @@ def test_similar_lines_meet_at_their_first_common_words_alone(spark):
     assert sorted(r["x_pos"] for r in both.where(line_dedup._passes(80)).collect()) == [0, 1, 2]
 
 
+def test_first_tries_look_up_one_row_a_word(spark, monkeypatch):
+    plans, write = [], line_dedup.written
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    classes = line_dedup.line_classes(spark.createDataFrame([(i, f"a b c d e f g h r{i % 3} s{i}") for i in range(9)], "id long, text string"), line_dedup.long_array(spark, [0] * 65536), 80)
+    monkeypatch.setattr(line_dedup, "written", written)
+    pairs, hot = line_dedup._first_tries(classes, 80)
+    assert {(r["x"]["doc"], r["y"]["doc"]) for r in pairs.collect()} >= {(0, k) for k in range(3, 9, 3)} and hot.isEmpty()
+    windows = [p for p in plans if "windowspecdefinition" in p]
+    assert windows and not any("lag(" in p for p in windows)
+
+
 def test_matched_classes_are_joined_once(spark, monkeypatch):
     plans, write = [], line_dedup.written
 

@@ -8,9 +8,9 @@ earlier match goes. Lines of the same set are one class, whose first place alone
 too small to be similar to any other set need no prefix.
 
 Skew. Classes are collapsed with partial aggregation before anything meets. Every class first tries
-the earliest class of each of its prefix words and the LAST classes before it, so a group of near copies of any
-size gives a number of pairs in proportion to its lines. Classes without a match meet all earlier classes of
-their words; those of a word in more than HOT prefixes are dealt into blocks of HOT. No class is left untried.
+the earliest class of each of its prefix words, so a group of lines that are near its first one, of any size, gives
+a number of pairs in proportion to its lines. Classes without a match meet all earlier classes of their words;
+those of a word in more than HOT prefixes are dealt into blocks of HOT. No class is left untried.
 """
 
 from __future__ import annotations
@@ -29,9 +29,6 @@ RANK_BITS = 16
 #: A word in the prefixes of more classes than this is met in two steps, and in blocks of so many classes.
 HOT = 1000
 
-#: Of each prefix word, a class first tries so many classes right before it, and the earliest.
-LAST = 3
-
 #: Places to look up are broadcast if their table takes no more bytes than this; others are shuffled.
 SMALL_BYTES = 4 << 20
 
@@ -107,16 +104,16 @@ def _place(side: str) -> Column:
     return F.struct(*[F.col(f"{side}_{c}").alias(c) for c in _PLACE])
 
 
-def _passes(percent: int, x: str = "x") -> Column:
+def _passes(percent: int) -> Column:
     """Order, length, position and sketch filters on sides x (the earlier one) and y; none of them drops a match."""
-    an, bn = F.col(f"{x}_n").cast("long"), F.col("y_n").cast("long")
+    an, bn = F.col("x_n").cast("long"), F.col("y_n").cast("long")
     least = F.floor((percent * (an + bn) + 99 + percent) / (100 + percent)).cast("long")
-    ap, bp = F.when(F.col(f"{x}_pos") < 0, -1 - F.col(f"{x}_pos")).otherwise(F.col(f"{x}_pos")), F.col("y_pos")
+    ap, bp = F.when(F.col("x_pos") < 0, -1 - F.col("x_pos")).otherwise(F.col("x_pos")), F.col("y_pos")
     # A pair need only pass at its first common word, before which it shares none.
     most = F.least(an - ap, bn - bp)
-    apart = F.bit_count(F.col(f"{x}_w0").bitwiseXOR(F.col("y_w0"))) + F.bit_count(F.col(f"{x}_w1").bitwiseXOR(F.col("y_w1")))
+    apart = F.bit_count(F.col("x_w0").bitwiseXOR(F.col("y_w0"))) + F.bit_count(F.col("x_w1").bitwiseXOR(F.col("y_w1")))
     sizes = (100 * F.least(an, bn) >= percent * F.greatest(an, bn)) & (most >= least) & (apart <= an + bn - 2 * least)
-    return (F.col(f"{x}_doc") <= F.col("y_doc")) & sizes & (_place(x) < _place("y"))
+    return (F.col("x_doc") <= F.col("y_doc")) & sizes & (_place("x") < _place("y"))
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -148,19 +145,16 @@ def _judged(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int)
 
 
 def _first_tries(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (x, y) of a class and the earliest and the last classes before it of a prefix word, and (token, blocks) of words in more than HOT prefixes. Written."""
+    """Pairs (x, y) of a class and the earliest class of a prefix word, and (token, blocks) of words in more than HOT prefixes. Written."""
     rows = _side(_prefix_rows(classes), "y")
     w = Window.partitionBy("token").orderBy(*[f"y_{c}" for c in _PLACE])
-    tried = ["x", *[f"x{k}" for k in range(1, LAST + 1)]]
-    before = [F.first(f"y_{c}").over(w).alias(f"x_{c}") for c in (*_PLACE, "pos")]
-    before += [F.lag(f"y_{c}", k).over(w).alias(f"x{k}_{c}") for k in range(1, LAST + 1) for c in (*_PLACE, "pos")]
-    rows = rows.select("*", *before, F.row_number().over(w).alias("k"))
+    # Each further row looked up here costs as much as the rest of the step.
+    earliest = [F.first(f"y_{c}").over(w).alias(f"x_{c}") for c in (*_PLACE, "pos")]
+    rows = rows.select("*", *earliest, F.row_number().over(w).alias("k"))
     full = F.col("k") % HOT == 0
-    passing = [F.coalesce(_passes(percent, x), F.lit(False)).alias(f"{x}_tries") for x in tried]
-    rows = rows.select("*", *passing).where(" or ".join(f"{x}_tries" for x in tried) + f" or k % {HOT} = 0")
-    tries = F.filter(F.array(*[F.when(F.col(f"{x}_tries"), _place(x)) for x in tried]), lambda x: x.isNotNull())
-    found = written(rows.select("token", "k", full.alias("full"), tries.alias("xs"), _place("y").alias("y")))
-    pairs = written(found.select(F.explode("xs").alias("x"), "y").distinct())
+    rows = rows.select("*", F.coalesce(_passes(percent), F.lit(False)).alias("tries")).where(f"tries or k % {HOT} = 0")
+    found = written(rows.select("token", "k", full.alias("full"), "tries", _place("x").alias("x"), _place("y").alias("y")))
+    pairs = written(found.where("tries").select("x", "y").distinct())
     hot = written(found.where("full").groupBy("token").agg((F.max("k") / HOT).cast("long").alias("blocks")))
     drop(found)
     return pairs, hot
