@@ -624,6 +624,36 @@ def test_matched_classes_are_joined_once(spark, monkeypatch):
     assert max(p.count("LeftOuter") for p in plans) == 1
 
 
+def test_smaller_sets_meet_on_fewer_words_of_one_shuffle(spark):
+    random.seed(5)
+    lines = [" ".join(random.sample([f"w{k}" for k in range(24)], random.randint(10, 22))) for _ in range(150)]
+    ranks = line_dedup.long_array(spark, [0] * (1 << line_dedup.RANK_BITS))
+    classes = line_dedup.line_classes(spark.createDataFrame(list(enumerate(lines)), "id long, text string"), ranks, 80)
+    rows = line_dedup._prefix_rows(classes)
+    met = line_dedup._meet(rows.withColumn("pos", F.when(F.col("doc") % 10 == 9, -1 - F.col("pos")).otherwise(F.col("pos"))), 80)
+    got = {(r["x"]["doc"], r["y"]["doc"]) for r in met.collect()}
+    sets = [frozenset(x.split()) for x in lines]
+    alike = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if a != b and 100 * len(a & b) >= 80 * len(a | b)}
+    assert {p for p in alike if p[1] % 10 != 9} <= got and len(alike) > 50
+    assert all(i < j and j % 10 != 9 for i, j in got)
+    plan = met._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert "ReusedExchange" in plan
+
+
+def test_only_words_of_many_prefixes_are_tried_first(spark, monkeypatch):
+    lines = [" ".join([*[f"c{k}" for k in range(40)], f"r{i}"]) for i in range(150)]
+    lines += [" ".join([*[f"{i}d{k}" for k in range(40)], f"{i}s{j}"]) for i in range(30) for j in range(2)]
+    classes = line_dedup.line_classes(spark.createDataFrame(list(enumerate(lines)), "id long, text string"), line_dedup.long_array(spark, [0] * (1 << line_dedup.RANK_BITS)), 80)
+    busy, seen, tries = line_dedup._busy(classes), [], line_dedup._first_tries
+    rows = line_dedup._prefix_rows(classes)
+    counts = {r["token"]: r["count"] for r in rows.groupBy("token").count().collect()}
+    assert {r["token"] for r in rows.where(busy).collect()} == {t for t, n in counts.items() if n > line_dedup.TRIES} != set()
+    monkeypatch.setattr(line_dedup, "_first_tries", lambda *a: seen.append(tries(*a)[0].count()) or tries(*a))
+    out = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in out.where("n_removed_lines = 0").collect()) == [0, *range(150, 210, 2)]
+    assert 149 <= seen[0] < 150 * 10
+
+
 # -- 10 -------------------------------------------------------------------------------------
 
 

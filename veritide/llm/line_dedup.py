@@ -2,15 +2,17 @@
 
 A line is a set of words, ordered by rarity. Two lines of Jaccard similarity ``percent`` or
 more share a word in their prefixes (the first n - ceil(t n) + 1 words), so lines meet on prefix
-words only. Length, position and a 128-bit parity sketch (whose Hamming distance never exceeds the
+words only; of the smaller set, the first n - ceil(2 t n / (1 + t)) + 1 do, as two sets share 2 t / (1 + t) of the smaller
+one at least. Length, position and a 128-bit parity sketch (whose Hamming distance never exceeds the
 symmetric difference) sift the pairs; Jaccard on the whole word sets decides. A line with an
 earlier match goes. Lines of the same set are one class, whose first place alone can stay; sets
 too small to be similar to any other set need no prefix.
 
 Skew. Classes are collapsed with partial aggregation before anything meets. Every class first tries
-the earliest class of each of its prefix words, so a group of lines that are near its first one, of any size, gives
-a number of pairs in proportion to its lines. Classes without a match meet all earlier classes of their words;
-those of a word in more than HOT prefixes are dealt into blocks of HOT. No class is left untried.
+the earliest class of each of its prefix words that may be in more than TRIES prefixes, so a large group of lines that are near
+its first one gives a number of pairs in proportion to its lines; a smaller group gives TRIES pairs a line at most.
+Classes without a match meet all other classes of their words; those of a word in more than HOT prefixes are dealt into
+blocks of HOT. No class is left untried.
 """
 
 from __future__ import annotations
@@ -24,7 +26,10 @@ from .common import BLANKS, drop, estimated_bytes, let, long_array, packed, read
 PERCENT = 80
 
 #: Words are ordered by the count of their hash bucket; so many buckets bound that table.
-RANK_BITS = 16
+RANK_BITS = 18
+
+#: Classes first try the earliest class of a word whose hash bucket has so many more prefixes than a bucket's mean and a quarter.
+TRIES = 100
 
 #: A word in the prefixes of more classes than this is met in two steps, and in blocks of so many classes.
 HOT = 1000
@@ -70,7 +75,8 @@ def line_classes(rows: DataFrame, ranks: Column, percent: int) -> DataFrame:
     mask = (1 << RANK_BITS) - 1
 
     def number(h: Column) -> Column:
-        place = F.get(ranks, h.bitwiseAND(F.lit(mask)).cast("int"))
+        # Never null, so that the tokens are sorted as bare longs.
+        place = F.coalesce(F.get(ranks, h.bitwiseAND(F.lit(mask)).cast("int")), F.lit(0).cast("long"))
         return place.bitwiseOR(F.shiftrightunsigned(h, RANK_BITS + 2))
 
     hashes = F.array_distinct(F.transform(_words("line"), lambda w: F.xxhash64(w)))
@@ -104,16 +110,38 @@ def _place(side: str) -> Column:
     return F.struct(*[F.col(f"{side}_{c}").alias(c) for c in _PLACE])
 
 
-def _passes(percent: int) -> Column:
-    """Order, length, position and sketch filters on sides x (the earlier one) and y; none of them drops a match."""
+def _position(pos: str) -> Column:
+    """The position of a prefix word, which is -1 - pos where the class is gone."""
+    return F.when(F.col(pos) < 0, -1 - F.col(pos)).otherwise(F.col(pos))
+
+
+def _near(percent: int) -> Column:
+    """Length, position and sketch filters on sides x and y; none of them drops a match."""
     an, bn = F.col("x_n").cast("long"), F.col("y_n").cast("long")
     least = F.floor((percent * (an + bn) + 99 + percent) / (100 + percent)).cast("long")
-    ap, bp = F.when(F.col("x_pos") < 0, -1 - F.col("x_pos")).otherwise(F.col("x_pos")), F.col("y_pos")
     # A pair need only pass at its first common word, before which it shares none.
-    most = F.least(an - ap, bn - bp)
+    most = F.least(an - _position("x_pos"), bn - _position("y_pos"))
     apart = F.bit_count(F.col("x_w0").bitwiseXOR(F.col("y_w0"))) + F.bit_count(F.col("x_w1").bitwiseXOR(F.col("y_w1")))
-    sizes = (100 * F.least(an, bn) >= percent * F.greatest(an, bn)) & (most >= least) & (apart <= an + bn - 2 * least)
-    return (F.col("x_doc") <= F.col("y_doc")) & sizes & (_place("x") < _place("y"))
+    return (100 * F.least(an, bn) >= percent * F.greatest(an, bn)) & (most >= least) & (apart <= an + bn - 2 * least)
+
+
+def _passes(percent: int) -> Column:
+    """The filters on sides x (the earlier one) and y."""
+    return (F.col("x_doc") <= F.col("y_doc")) & _near(percent) & (_place("x") < _place("y"))
+
+
+def _meet(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y), the earlier class first, of prefix rows of equal tokens that pass the filters; not those whose later class is gone."""
+    # One shuffle for both sides: the partition's number, which no rule can move, keeps the filters of each side above it.
+    rows = rows.repartition("token").select("*", F.spark_partition_id().alias("part")).where("part >= 0")
+    n = F.col("n").cast("long")
+    few = n - F.floor((2 * percent * n + 99 + percent) / (100 + percent)).cast("long") + 1
+    short = rows.where(_position("pos") < few).drop("part")
+    # Side x is the smaller set, or the earlier of two of one size.
+    order = (F.col("x_n") <= F.col("y_n")) & ((F.col("x_n") < F.col("y_n")) | (_place("x") < _place("y")))
+    asks = F.when(_place("x") < _place("y"), F.col("y_pos")).otherwise(F.col("x_pos")) >= 0
+    met = _side(short, "x").join(_side(rows.drop("part"), "y"), "token").where(_near(percent) & order & asks)
+    return met.select(F.least(_place("x"), _place("y")).alias("x"), F.greatest(_place("x"), _place("y")).alias("y")).distinct()
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -144,9 +172,26 @@ def _judged(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int)
     return out
 
 
-def _first_tries(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (x, y) of a class and the earliest class of a prefix word, and (token, blocks) of words in more than HOT prefixes. Written."""
-    rows = _side(_prefix_rows(classes), "y")
+def _busy(classes: DataFrame) -> Column:
+    """Whether ``token``'s hash bucket is in more prefixes than others, by TRIES and a quarter of the mean (a fixed-size bitmap)."""
+    buckets = 1 << RANK_BITS
+    bucket = F.col("token").bitwiseAND(F.lit(buckets - 1))
+    counts = classes.select(F.explode("prefix").alias("token")).groupBy(bucket.alias("bucket")).count()
+    every = counts.agg(F.sum("count").alias("total"), F.collect_list(F.struct("count", "bucket")).alias("all"))
+    large = F.filter("all", lambda b: b["count"] > min(TRIES, HOT) + 1.25 / buckets * F.col("total"))
+    bits = [0] * (buckets >> 6)
+    for b in rows_of(every.select(large["bucket"]))[0][0]:
+        bits[b >> 6] |= 1 << (b & 63)
+    bits = long_array(classes.sparkSession, [x - (1 << 64) if x >> 63 else x for x in bits])
+    word = F.get(bits, F.shiftright(bucket, 6).cast("int"))
+    return F.getbit(word, bucket.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def _first_tries(classes: DataFrame, percent: int, busy: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs (x, y) of a class and the earliest class of a prefix word, and (token, blocks) of words in more than HOT prefixes,
+    of all words or those that ``busy`` tells. Written."""
+    rows = _prefix_rows(classes)
+    rows = _side(rows if busy is None else rows.where(busy), "y")
     w = Window.partitionBy("token").orderBy(*[f"y_{c}" for c in _PLACE])
     # Each further row looked up here costs as much as the rest of the step.
     earliest = [F.first(f"y_{c}").over(w).alias(f"x_{c}") for c in (*_PLACE, "pos")]
@@ -163,24 +208,19 @@ def _first_tries(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
 def later_matches(classes: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """``classes`` with ``gone`` (true, else null) where a first try is similar, and the other classes (cls, w0, w1, n) that
     have an earlier place with a similar set. Written; the first replaces ``classes``."""
-    pairs, hot = _first_tries(classes, percent)
-    # All of these are tried, the earliest first; then classes that they fail try all others.
-    tried = _judged(pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y"), classes, rows, percent)
-    gone = written(tried.where("ok").select(*[f"y.{c}" for c in _CLASS]))
-    others = written(pairs.join(tried.where("not ok").select("y"), "y", "left_semi").join(tried.select("x", "y"), ["x", "y"], "left_anti"))
-    drop(pairs, tried)
-    gone = _with_more(gone, others, classes, rows, percent)
+    none = classes.select(*_CLASS).where("false")
+    pairs, hot = _first_tries(classes, percent, _busy(classes))
+    gone = _with_more(written(none), pairs, classes, rows, percent)
+    few = F.broadcast(gone) if estimated_bytes(gone) <= SMALL_BYTES else gone
     # Written, as several readers follow.
-    flagged = written(classes.join(gone.withColumn("gone", F.lit(True)), list(_CLASS), "left"))
+    flagged = written(classes.join(few.withColumn("gone", F.lit(True)), list(_CLASS), "left"))
     drop(classes, gone)
     # A class that is gone asks no more: its positions are -1 - pos, so that both sides of the join are one and the same shuffle.
     every = flagged.select(*_PLACE, "gone", F.posexplode("prefix").alias("pos", "token"))
     every = every.withColumn("pos", F.when(F.col("gone"), -1 - F.col("pos")).otherwise(F.col("pos"))).drop("gone")
     any_hot = not hot.isEmpty()
     mild = every.join(F.broadcast(hot) if estimated_bytes(hot) <= SMALL_BYTES else hot, "token", "left_anti") if any_hot else every
-    # Written with both sides, lest the filter go below the shuffle of one.
-    open_y = F.least("y_pos", F.greatest("x_pos", F.lit(0))) >= 0
-    rest = _pairs(_side(mild, "x").join(_side(mild, "y"), "token").where(open_y & _passes(percent)))
+    rest = _meet(mild, percent)
     if any_hot:
         found = every.join(hot, "token")
         asks = found.where("pos >= 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))).alias("block"))
