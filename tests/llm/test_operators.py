@@ -654,6 +654,30 @@ def test_only_words_of_many_prefixes_are_tried_first(spark, monkeypatch):
     assert 149 <= seen[0] < 150 * 10
 
 
+def test_word_ranks_stay_out_of_plan_texts(spark, monkeypatch):
+    values = [k * k - 5 for k in range(1 << line_dedup.RANK_BITS)]
+    ranks = line_dedup.long_array(spark, values)
+    some = spark.createDataFrame([(0,), (7,), (len(values) - 1,), (len(values),)], "k int").select(F.get(ranks, F.col("k")).alias("v"))
+    assert [r["v"] for r in some.collect()] == [values[0], values[7], values[-1], None]
+    sizes, write, keep = [len(some._jdf.queryExecution().toString())], line_dedup.written, line_dedup.rows_of
+
+    def noted(run):
+        def noting(df):
+            sizes.append(len(df._jdf.queryExecution().toString()))
+            return run(df)
+
+        return noting
+
+    monkeypatch.setattr(line_dedup, "written", noted(write))
+    monkeypatch.setattr(line_dedup, "rows_of", noted(keep))
+    rows = [(0, "a b c d e f\n\nx y"), (1, "g h\n \ni j"), (2, "A b c d e f\nk l\n"), (3, None), (4, "")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    sizes.append(len(out._jdf.queryExecution().toString()))
+    found = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed_lines"]) for r in out.collect()}
+    assert found == {0: (rows[0][1], 3, 0), 1: (rows[1][1], 3, 0), 2: ("k l\n", 3, 1), 3: (None, 0, 0), 4: ("", 1, 0)}
+    assert len(sizes) > 5 and max(sizes) < 200_000
+
+
 # -- 10 -------------------------------------------------------------------------------------
 
 

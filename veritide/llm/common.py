@@ -154,11 +154,29 @@ def let(value: Column, body) -> Column:
 
 
 def long_array(spark: SparkSession, values: list[int]) -> Column:
-    """A literal array of longs, also of many (``F.lit`` makes an expression of each element)."""
+    """A literal array of longs, also of many (``F.lit`` makes an expression of each element).
+
+    Its longs are packed: as a Java array they would be boxed, and written out in every text of a plan.
+    """
     jvm = spark.sparkContext._jvm
     data = bytearray(struct.pack(f">{len(values)}q", *values))
     buffer = jvm.java.nio.LongBuffer.allocate(len(values)).put(jvm.java.nio.ByteBuffer.wrap(data).asLongBuffer())
-    return _column(jvm.org.apache.spark.sql.functions.lit(buffer.array()))
+    catalyst, types = jvm.org.apache.spark.sql.catalyst.expressions, jvm.org.apache.spark.sql.types.DataTypes
+    packed_longs = catalyst.UnsafeArrayData.fromPrimitiveArray(buffer.array())
+    literal = catalyst.Literal(packed_longs, types.createArrayType(types.LongType, False))
+    return _column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
+
+
+@contextmanager
+def large_maps(spark: SparkSession, bits: int):
+    """Let aggregates of numbers keep ``2 ** bits`` keys in the map that is generated for them (by default 65,536; the others are slower)."""
+    key = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(bits))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 @contextmanager

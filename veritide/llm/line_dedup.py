@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, drop, estimated_bytes, let, long_array, packed, read, rows_of, runtime_filters, unpacked, written
+from .common import BLANKS, drop, estimated_bytes, large_maps, let, long_array, packed, read, rows_of, runtime_filters, unpacked, written
 
 #: Jaccard similarity, in per cent, from which two lines match.
 PERCENT = 80
@@ -63,7 +63,8 @@ def _ranks(rows: DataFrame) -> Column:
     """Place of each hash bucket by its number of words over all lines, rarest first, as the top bits of a token (a fixed-size array)."""
     words = _lines(rows).select(F.explode(_words("line")).alias("word"))
     counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit((1 << RANK_BITS) - 1)).alias("bucket")).count()
-    order = rows_of(counts.agg(F.sort_array(F.collect_list(F.struct("count", "bucket")))["bucket"].alias("order")))[0][0]
+    with large_maps(rows.sparkSession, RANK_BITS + 1):
+        order = rows_of(counts.agg(F.sort_array(F.collect_list(F.struct("count", "bucket")))["bucket"].alias("order")))[0][0]
     ranks = [0] * (1 << RANK_BITS)
     for place, bucket in enumerate(order, 1):
         ranks[bucket] = place << (62 - RANK_BITS)
@@ -180,7 +181,9 @@ def _busy(classes: DataFrame) -> Column:
     every = counts.agg(F.sum("count").alias("total"), F.collect_list(F.struct("count", "bucket")).alias("all"))
     large = F.filter("all", lambda b: b["count"] > min(TRIES, HOT) + 1.25 / buckets * F.col("total"))
     bits = [0] * (buckets >> 6)
-    for b in rows_of(every.select(large["bucket"]))[0][0]:
+    with large_maps(classes.sparkSession, RANK_BITS + 1):
+        found = rows_of(every.select(large["bucket"]))[0][0]
+    for b in found:
         bits[b >> 6] |= 1 << (b & 63)
     bits = long_array(classes.sparkSession, [x - (1 << 64) if x >> 63 else x for x in bits])
     word = F.get(bits, F.shiftright(bucket, 6).cast("int"))
@@ -269,7 +272,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def parted(lines: Column) -> Column:
         every = F.sequence(F.lit(0), F.size(lines) - 1)
         blank = F.filter(every, lambda i: ~F.rlike(F.get(lines, i), F.lit(f"[^{BLANKS}]")))
-        stay = F.when(F.col("id").isNull(), every).otherwise(F.array_intersect(every, F.array_union(blank, F.coalesce("kept", F.array().cast("array<int>")))))
+        # A text that keeps as many lines as it has keeps all of them.
+        whole = F.col("id").isNull() | (F.size("kept") == F.size(lines))
+        stay = F.when(whole, every).otherwise(F.array_intersect(every, F.array_union(blank, F.coalesce("kept", F.array().cast("array<int>")))))
         return let(stay, lambda s: F.struct(F.array_join(F.transform(s, lambda i: F.get(lines, i)), "\n").alias("text"), F.size(lines).alias("n"), F.size(s).alias("kept")))
 
     cut = F.when(F.col("text").isNotNull(), let(F.split("text", "\n"), parted))
